@@ -153,22 +153,44 @@ def out_of_vocabulary(index: Index, corpus: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg((F.lit(1.0) - known / F.count(F.lit(1))).alias("oov_ratio"))
 
 
+def _by_batch(name: str, df: DataFrame) -> DataFrame:
+    return df.withColumn("batch", F.col("bid.batch")) if name.endswith("weights") else df
+
+
 def save_index(index: Index, path: str) -> None:
+    """One folder per table; all but the vocabulary hold one folder per batch."""
+    span = index.documents.agg(F.min("batch").alias("lo"), F.max("batch").alias("hi")).first()
     for name, df in index.tables().items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        if name == "vocabulary":
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        elif span["lo"] == span["hi"]:
+            df.drop("batch").write.mode("overwrite").parquet(f"{path}/{name}/batch={span['lo'] or 0}")
+        else:
+            _by_batch(name, df).write.mode("overwrite").partitionBy("batch").parquet(f"{path}/{name}")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
-    return Index(**{name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
+    """Saved index. ``documents`` is written last, so batches it does not have
+    yet are left-overs of an unfinished append and stay out."""
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    tables["documents"] = tables["documents"].select("batch", "doc_id", "text")
+    last = tables["documents"].agg(F.max("batch")).first()[0] or 0
+    done = F.col("batch") <= last
+    tables["sentences"] = tables["sentences"].filter(done).select("batch", "doc_id", "sent_idx", "sentence")
+    for name in ("document_weights", "sentence_weights"):
+        tables[name] = tables[name].filter(done).drop("batch")
+    return Index(**tables)
 
 
 def append_to_saved(spark: SparkSession, path: str, arrived: DataFrame, hot_rows: int = HOT_ROWS) -> None:
-    """Append new documents to a saved index. ``documents`` goes last: a retry
-    after a failure then still sees them as new."""
+    """Append new documents to a saved index, safe to repeat after a failure:
+    a retry takes the same batch number and overwrites its folders."""
     index = load_index(spark, path)
     parts = {name: materialize(df, name) for name, df in _append(index, arrived, hot_rows).items()}
+    last = index.documents.agg(F.max("batch")).first()[0]
+    batch = 0 if last is None else last + 1
     for name in ("sentences", "document_weights", "sentence_weights", "documents"):
-        parts[name].write.mode("append").parquet(f"{path}/{name}")
+        parts[name].drop("batch").write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
 
 
 def index_health(index: Index, detector: str = "heuristic") -> DataFrame:

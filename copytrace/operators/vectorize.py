@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copytrace.functions import text as T
-from copytrace.session import BROADCAST_BYTES
+from copytrace.session import BROADCAST_BYTES, materialize
 
 # A vocabulary row (term, counts, idf) takes about this much in a hash table.
 VOCAB_ROW_BYTES = 96
@@ -81,7 +81,9 @@ def max_df_vocabulary(vocab: DataFrame, n: int, max_df: float) -> DataFrame:
     return vocab.filter(F.col("df") <= F.lit(max_df * n))
 
 
-def attach_vocabulary(post: DataFrame, vocab: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+def attach_vocabulary(
+    post: DataFrame, vocab: DataFrame, keys: Sequence[str], cols: Sequence[str], row_bytes: int = VOCAB_ROW_BYTES
+) -> DataFrame:
     """Join vocabulary columns to postings; terms outside it are dropped.
 
     ``vocab`` should be a stored table with ``term``, ``df`` and ``cols``. A
@@ -90,7 +92,7 @@ def attach_vocabulary(post: DataFrame, vocab: DataFrame, keys: Sequence[str], co
     """
     size = vocab.agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("total")).first()
     table = vocab.select("term", *cols)
-    if size["terms"] * VOCAB_ROW_BYTES <= BROADCAST_BYTES:
+    if size["terms"] * row_bytes <= BROADCAST_BYTES:
         return post.join(F.broadcast(table), "term")
     return _attach_large(post, vocab, keys, cols, size["total"])
 
@@ -133,7 +135,5 @@ def tfidf_weights(df: DataFrame, keys: Sequence[str], text: str = "text", n: int
     vocab = document_frequency(post)
     if max_df < 1.0:
         vocab = max_df_vocabulary(vocab, rows, max_df)
-    from copytrace.session import materialize
-
     vocab = materialize(vocab.withColumn("idf", smoothed_idf(rows)), "vocab")
     return normalized_weights(attach_vocabulary(post, vocab, keys, ["idf"]), keys)
