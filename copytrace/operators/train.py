@@ -80,7 +80,7 @@ def train_classifier(labelled: DataFrame, max_df: float = 0.95, c: float = 1.0,
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-8,
+        tol=1e-4,
     )
     model = lr.fit(features.transform(rows))
     return PipelineModel(stages=[*features.stages, model])
