@@ -40,11 +40,17 @@ def _token_stages() -> list:
     ]
 
 
-def fit_features(train: DataFrame, max_df: float = 0.95, max_terms: int = MAX_TERMS) -> PipelineModel:
+def term_totals(train: DataFrame) -> tuple[int, int]:
+    """Distinct terms, and postings over all rows."""
+    per_term = postings(train, ["row_id"], n=2).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    row = per_term.agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings")).first()
+    return row["terms"], row["postings"]
+
+
+def fit_features(train: DataFrame, terms: int, max_df: float = 0.95, max_terms: int = MAX_TERMS) -> PipelineModel:
     """TF-IDF over uni- and bigrams, fitted on ``train`` only; unit rows."""
     n = train.count()
     tokenized = Pipeline(stages=_token_stages()).fit(train)
-    terms = postings(train, ["row_id"], n=2).agg(F.countDistinct("term")).first()[0] if n else 0
     if terms <= max_terms:
         counter = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max(1, terms), minDF=1.0, maxDF=max(1.0, max_df * n))
     else:
@@ -70,8 +76,15 @@ def train_classifier(labelled: DataFrame, max_df: float = 0.95, c: float = 1.0,
     Class 1 is ``ai``. The penalty is 1 / (c n) because Spark averages the loss.
     """
     rows = materialize(balanced_weights(labelled).withColumn("target", (F.col("label") == "ai").cast("double")), "train")
-    features = fit_features(rows, max_df)
+    terms, postings_total = term_totals(rows)
+    features = fit_features(rows, terms, max_df)
     n = max(1, rows.count())
+    matrix = features.transform(rows)
+    # Each task returns a gradient as wide as the vocabulary: give a task at
+    # least that many postings, so that gradients do not outweigh the data.
+    useful = max(1, postings_total // max(1, terms))
+    if useful < matrix.rdd.getNumPartitions():
+        matrix = matrix.coalesce(useful)
     lr = LogisticRegression(
         featuresCol="features",
         labelCol="target",
@@ -82,7 +95,7 @@ def train_classifier(labelled: DataFrame, max_df: float = 0.95, c: float = 1.0,
         maxIter=max_iter,
         tol=1e-4,
     )
-    model = lr.fit(features.transform(rows))
+    model = lr.fit(matrix)
     return PipelineModel(stages=[*features.stages, model])
 
 
