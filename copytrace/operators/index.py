@@ -2,7 +2,8 @@
 
 ``documents(batch, doc_id, text)``        one row per corpus document
 ``sentences(batch, doc_id, sent_idx, sentence)``
-``vocabulary(term, df, idf, doc_rows, sent_rows)``   frozen at build time
+``vocabulary(term, df, idf, doc_hot, sent_hot)``  frozen at build time, with what is
+    hot for the matching join: both of its sides must agree on that
 ``document_weights`` / ``sentence_weights(bid, term, w, hot, hot_norm)``
     unit TF-IDF vectors, one per *distinct* text; ``bid`` is the key of its
     first occurrence in corpus order (batch, doc_id[, sent_idx])
@@ -63,10 +64,11 @@ def distinct_texts(df: DataFrame, key: Column, text: str) -> DataFrame:
     return df.groupBy(F.col(text).alias("text")).agg(F.min(key).alias("bid"), F.count(F.lit(1)).alias("copies"))
 
 
-def fit_vocabulary(doc_post: DataFrame, sent_post: DataFrame, rows: int) -> DataFrame:
+def fit_vocabulary(doc_post: DataFrame, sent_post: DataFrame, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Vocabulary over documents and sentences together.
 
-    Both inputs hold one posting set per distinct text with its ``copies``.
+    Both inputs hold one posting set per distinct text with its ``copies``. A
+    term in over ``hot_rows`` distinct texts of one kind is hot there.
     """
     d = doc_post.select("term", "copies", F.lit(1).alias("dr"), F.lit(0).alias("sr"))
     s = sent_post.select("term", "copies", F.lit(0).alias("dr"), F.lit(1).alias("sr"))
@@ -75,13 +77,19 @@ def fit_vocabulary(doc_post: DataFrame, sent_post: DataFrame, rows: int) -> Data
         .groupBy("term")
         .agg(F.sum("copies").alias("df"), F.sum("dr").alias("doc_rows"), F.sum("sr").alias("sent_rows"))
     )
-    return counts.withColumn("idf", smoothed_idf(rows))
+    return counts.select(
+        "term",
+        "df",
+        smoothed_idf(rows).alias("idf"),
+        (F.col("doc_rows") > hot_rows).alias("doc_hot"),
+        (F.col("sent_rows") > hot_rows).alias("sent_hot"),
+    )
 
 
-def weigh(post: DataFrame, vocabulary: DataFrame, rows_col: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """bid, term, w, hot, hot_norm under a frozen vocabulary."""
-    known = attach_vocabulary(post, vocabulary, ["bid"], ["idf", rows_col])
-    return normalized_weights(known, ["bid"], F.col(rows_col) > hot_rows)
+def weigh(post: DataFrame, vocabulary: DataFrame, hot: str) -> DataFrame:
+    """bid, term, w, hot, hot_norm under a frozen vocabulary; ``hot`` names its flag."""
+    known = attach_vocabulary(post, vocabulary, ["bid"], ["idf", hot])
+    return normalized_weights(known, ["bid"], F.col(hot))
 
 
 def build_index(corpus: DataFrame, hot_rows: int = HOT_ROWS) -> Index:
@@ -96,13 +104,13 @@ def build_index(corpus: DataFrame, hot_rows: int = HOT_ROWS) -> Index:
         postings(distinct_texts(sentences, sentence_key(), "sentence"), ["bid", "copies"], n=NGRAMS), "sentpost"
     )
     rows = documents.count() + sentences.count()
-    vocabulary = materialize(fit_vocabulary(doc_post, sent_post, rows), "vocabulary")
+    vocabulary = materialize(fit_vocabulary(doc_post, sent_post, rows, hot_rows), "vocabulary")
     return Index(
         documents,
         sentences,
         vocabulary,
-        materialize(weigh(doc_post.drop("copies"), vocabulary, "doc_rows", hot_rows), "docweights"),
-        materialize(weigh(sent_post.drop("copies"), vocabulary, "sent_rows", hot_rows), "sentweights"),
+        materialize(weigh(doc_post.drop("copies"), vocabulary, "doc_hot"), "docweights"),
+        materialize(weigh(sent_post.drop("copies"), vocabulary, "sent_hot"), "sentweights"),
     )
 
 
@@ -116,7 +124,7 @@ def overlay(corpus: DataFrame, extra: DataFrame) -> DataFrame:
     return corpus.join(extra.select("doc_id"), "doc_id", "left_anti").unionByName(extra)
 
 
-def _append(index: Index, arrived: DataFrame, hot_rows: int) -> dict[str, DataFrame]:
+def _append(index: Index, arrived: DataFrame) -> dict[str, DataFrame]:
     last = index.documents.agg(F.max("batch")).first()[0]
     batch = 0 if last is None else last + 1
     fresh = new_documents(index, arrived.dropDuplicates(["doc_id"]))
@@ -132,14 +140,14 @@ def _append(index: Index, arrived: DataFrame, hot_rows: int) -> dict[str, DataFr
     return {
         "documents": documents,
         "sentences": sentences,
-        "document_weights": weigh(postings(docs, ["bid"], n=NGRAMS), index.vocabulary, "doc_rows", hot_rows),
-        "sentence_weights": weigh(postings(sents, ["bid"], n=NGRAMS), index.vocabulary, "sent_rows", hot_rows),
+        "document_weights": weigh(postings(docs, ["bid"], n=NGRAMS), index.vocabulary, "doc_hot"),
+        "sentence_weights": weigh(postings(sents, ["bid"], n=NGRAMS), index.vocabulary, "sent_hot"),
     }
 
 
-def add_documents(index: Index, arrived: DataFrame, hot_rows: int = HOT_ROWS) -> Index:
+def add_documents(index: Index, arrived: DataFrame) -> Index:
     """Index with the new documents of ``arrived`` added; the vocabulary stays frozen."""
-    parts = {name: materialize(df, name) for name, df in _append(index, arrived, hot_rows).items()}
+    parts = {name: materialize(df, name) for name, df in _append(index, arrived).items()}
     return Index(
         vocabulary=index.vocabulary, **{name: getattr(index, name).unionByName(df) for name, df in parts.items()}
     )
@@ -182,11 +190,11 @@ def load_index(spark: SparkSession, path: str) -> Index:
     return Index(**tables)
 
 
-def append_to_saved(spark: SparkSession, path: str, arrived: DataFrame, hot_rows: int = HOT_ROWS) -> None:
+def append_to_saved(spark: SparkSession, path: str, arrived: DataFrame) -> None:
     """Append new documents to a saved index, safe to repeat after a failure:
     a retry takes the same batch number and overwrites its folders."""
     index = load_index(spark, path)
-    parts = {name: materialize(df, name) for name, df in _append(index, arrived, hot_rows).items()}
+    parts = {name: materialize(df, name) for name, df in _append(index, arrived).items()}
     last = index.documents.agg(F.max("batch")).first()[0]
     batch = 0 if last is None else last + 1
     for name in ("sentences", "document_weights", "sentence_weights", "documents"):

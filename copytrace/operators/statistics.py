@@ -11,7 +11,7 @@ from copytrace.functions.numeric import round_even
 
 def spread_of(lengths: Column) -> Column:
     """Population standard deviation of an integer array, from exact sums."""
-    n = F.size(lengths).cast("double")
+    n = F.greatest(F.size(lengths), F.lit(1)).cast("double")
     total = F.aggregate(lengths, F.lit(0.0), lambda acc, x: acc + x)
     squares = F.aggregate(lengths, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
     return F.sqrt(n * squares - total * total) / n
