@@ -30,8 +30,10 @@ from copytrace.operators.vectorize import (
 from copytrace.session import materialize
 
 NGRAMS = 2
-# A term in more rows than this is hot for the matching join.
-HOT_ROWS = 256
+# A term in more rows than this is hot for the matching join. Cold terms pair a
+# query with at most this many rows each; a higher value prunes more pairs of
+# long shortlists, a lower one makes the first join cheaper.
+HOT_ROWS = 2048
 TABLES = ("documents", "sentences", "vocabulary", "document_weights", "sentence_weights")
 
 

@@ -25,9 +25,10 @@ def test_heuristic(spark):
 
 def test_reasons(spark):
     rows = {r["doc_id"]: r for r in detect.explain_signals(texts(spark, UNIFORM, VARIED, "Hi.")).collect()}
-    assert [e.split(" ")[0] for e in rows[0]["explanation"]] == ["highly", "repetitive"]
+    assert [e.split(" ")[0] for e in rows[0]["explanation"]] == ["low", "highly", "repetitive"]
+    assert rows[0]["explanation"][0].startswith("low lexical diversity (0.29, ")  # 15 of 52 words
     assert rows[0]["repeated"] == 4
-    assert rows[0]["explanation"][1] == "repetitive phrasing detected in 4 sentence(s)"
+    assert rows[0]["explanation"][2] == "repetitive phrasing detected in 4 sentence(s)"
     assert rows[1]["explanation"] == []
     assert rows[2]["explanation"] == [
         "highly uniform sentence structure (sentence-length variance is 0.00, unusually low)"
