@@ -126,6 +126,12 @@ def overlay(corpus: DataFrame, extra: DataFrame) -> DataFrame:
     return corpus.join(extra.select("doc_id"), "doc_id", "left_anti").unionByName(extra)
 
 
+def _unknown(texts: DataFrame, stored: DataFrame, text: str) -> DataFrame:
+    """Rows of ``texts`` not in ``stored``; only hashes move, one per stored text."""
+    known = stored.select(F.md5(text).alias("_h")).distinct()
+    return texts.withColumn("_h", F.md5("text")).join(known, "_h", "left_anti").drop("_h")
+
+
 def _append(index: Index, arrived: DataFrame) -> dict[str, DataFrame]:
     last = index.documents.agg(F.max("batch")).first()[0]
     batch = 0 if last is None else last + 1
@@ -133,12 +139,8 @@ def _append(index: Index, arrived: DataFrame) -> dict[str, DataFrame]:
     documents = materialize(fresh.select(F.lit(batch).alias("batch"), "doc_id", "text"), "documents")
     sentences = materialize(with_sentences(documents, ["batch", "doc_id"]), "sentences")
     # A text that is indexed already keeps its vector and only gains a copy.
-    docs = distinct_texts(documents, document_key(), "text").join(
-        index.documents.select("text"), "text", "left_anti"
-    )
-    sents = distinct_texts(sentences, sentence_key(), "sentence").join(
-        index.sentences.select(F.col("sentence").alias("text")), "text", "left_anti"
-    )
+    docs = _unknown(distinct_texts(documents, document_key(), "text"), index.documents, "text")
+    sents = _unknown(distinct_texts(sentences, sentence_key(), "sentence"), index.sentences, "sentence")
     return {
         "documents": documents,
         "sentences": sentences,
