@@ -30,9 +30,10 @@ from copytrace.operators.vectorize import (
 from copytrace.session import materialize
 
 NGRAMS = 2
-# A term in more rows than this is hot for the matching join. Cold terms pair a
+# A term in more documents / sentences than this is hot for the matching join. Cold terms pair a
 # query with at most this many rows each; a higher value prunes more pairs of
 # long shortlists, a lower one makes the first join cheaper.
+HOT_DOCUMENTS = 256
 HOT_ROWS = 2048
 TABLES = ("documents", "sentences", "vocabulary", "document_weights", "sentence_weights")
 
@@ -66,11 +67,14 @@ def distinct_texts(df: DataFrame, key: Column, text: str) -> DataFrame:
     return df.groupBy(F.col(text).alias("text")).agg(F.min(key).alias("bid"), F.count(F.lit(1)).alias("copies"))
 
 
-def fit_vocabulary(doc_post: DataFrame, sent_post: DataFrame, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fit_vocabulary(
+    doc_post: DataFrame, sent_post: DataFrame, rows: int, hot_documents: int, hot_rows: int
+) -> DataFrame:
     """Vocabulary over documents and sentences together.
 
     Both inputs hold one posting set per distinct text with its ``copies``. A
-    term in over ``hot_rows`` distinct texts of one kind is hot there.
+    term in over ``hot_documents`` (``hot_rows``) distinct texts is hot among
+    documents (sentences).
     """
     d = doc_post.select("term", "copies", F.lit(1).alias("dr"), F.lit(0).alias("sr"))
     s = sent_post.select("term", "copies", F.lit(0).alias("dr"), F.lit(1).alias("sr"))
@@ -83,7 +87,7 @@ def fit_vocabulary(doc_post: DataFrame, sent_post: DataFrame, rows: int, hot_row
         "term",
         "df",
         smoothed_idf(rows).alias("idf"),
-        (F.col("doc_rows") > hot_rows).alias("doc_hot"),
+        (F.col("doc_rows") > hot_documents).alias("doc_hot"),
         (F.col("sent_rows") > hot_rows).alias("sent_hot"),
     )
 
@@ -94,7 +98,7 @@ def weigh(post: DataFrame, vocabulary: DataFrame, hot: str) -> DataFrame:
     return normalized_weights(known, ["bid"], F.col(hot))
 
 
-def build_index(corpus: DataFrame, hot_rows: int = HOT_ROWS) -> Index:
+def build_index(corpus: DataFrame, hot_documents: int = HOT_DOCUMENTS, hot_rows: int = HOT_ROWS) -> Index:
     """Index of ``corpus(doc_id, text)``."""
     documents = materialize(corpus.select(F.lit(0).alias("batch"), "doc_id", "text"), "documents")
     sentences = materialize(with_sentences(documents, ["batch", "doc_id"]), "sentences")
@@ -106,7 +110,7 @@ def build_index(corpus: DataFrame, hot_rows: int = HOT_ROWS) -> Index:
         postings(distinct_texts(sentences, sentence_key(), "sentence"), ["bid", "copies"], n=NGRAMS), "sentpost"
     )
     rows = documents.count() + sentences.count()
-    vocabulary = materialize(fit_vocabulary(doc_post, sent_post, rows, hot_rows), "vocabulary")
+    vocabulary = materialize(fit_vocabulary(doc_post, sent_post, rows, hot_documents, hot_rows), "vocabulary")
     return Index(
         documents,
         sentences,

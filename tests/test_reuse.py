@@ -45,7 +45,7 @@ def test_matches_equal_brute_force(spark, k):
     rows = random_corpus(3, 45)
     questions = [t for _, t in random_corpus(4, 10)] + [rows[0][1], "the of", "unseenword", ""]
     # hot_rows=3 makes most terms hot, so the pruned path does the work.
-    ix = I.build_index(docs(spark, rows), hot_rows=3)
+    ix = I.build_index(docs(spark, rows), hot_documents=3, hot_rows=3)
     sents = [(d, i, s) for d, t in rows for i, s in enumerate(brute.sentences(t))]
     idf = brute.fit([t for _, t in rows] + [s for _, _, s in sents], 2)
     doc_vec = [(d, brute.vector(t, idf, 2)) for d, t in rows]
