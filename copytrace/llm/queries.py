@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from copytrace.llm import line_dedup, mixing, simhash
+from copytrace.llm import line_dedup, mixing, packing, simhash, tokens
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash": simhash.op5_simhash,
+    "op6_tokens": tokens.op6_tokens,
+    "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 
