@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from copytrace.llm import line_dedup, mixing, packing, simhash, tokens
+from copytrace.llm import language, line_dedup, mixing, packing, simhash, tokens
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_tokens": tokens.op6_tokens,
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op10_language": language.op10_language,
 }
 
 SQL = {"op4_mixing": mixing.SQL, "op8_line_dedup": line_dedup.SQL}
