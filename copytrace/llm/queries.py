@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from copytrace.llm import language, line_dedup, mixing, packing, simhash, tokens
+import corpus_pipeline
+from copytrace.llm import ann, language, line_dedup, mixing, packing, simhash, tokens, vector_dedup
 
 QUERIES = {
+    "op2_vector_dedup": vector_dedup.op2_vector_dedup,
+    "op3_neighbours": ann.op3_neighbours,
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash": simhash.op5_simhash,
     "op6_tokens": tokens.op6_tokens,
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op10_language": language.op10_language,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {"op4_mixing": mixing.SQL, "op8_line_dedup": line_dedup.SQL}
