@@ -55,8 +55,10 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(row, kept, n_lines, n_dropped): each input row as a struct, its remaining text and its counts."""
     drops = line_drops(docs, id_col, text_col, min_chars, min_docs)
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), _lines(text_of(text_col)).alias("lines"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"))
+    # Lines are split after the join: a text moves once.
     joined = rows.join(drops, rows.own.eqNullSafe(drops.id), "left")
+    joined = joined.select("row", "drops", _lines(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))).alias("lines"))
     kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.array_contains(F.col("drops"), _hash(line_key(x))))
     )
