@@ -28,6 +28,8 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -51,13 +53,33 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordIds(PieceCache):
     """Ids of whole texts as little-endian 32-bit numbers."""
 
-    def value(self, encoding) -> bytes:
-        return array("I", encoding.ids).tobytes()
+    between = " "
+
+    def value(self, ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    def is_word(self, piece: str) -> bool:
+        if piece.isascii():
+            return piece.isalpha()
+        return piece.isalpha() and normalize("NFC", piece).lower().isalpha()
+
+    def is_mark(self, token: str) -> bool:
+        return token.endswith("</w>")
+
+    def split(self, ids: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.flatnonzero(self.marked[ids]) + 1))
+
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        """The tokenizer ignores the case of letters, but not that of special strings."""
+        if "<|" not in text:
+            text = text.encode().lower().decode()
+        return text.replace("\n", " ").split(" ")
 
     def ids(self, texts: Iterable[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.lookup(w for words in split for w in words)
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+        split = [self.pieces(t) for t in texts]
+        known = self.lookup(chain.from_iterable(split))
+        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4") for pieces in split]
 
     def ending(self) -> np.ndarray:
         """Ids of the tokens that end a sentence."""

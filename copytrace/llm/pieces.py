@@ -2,23 +2,43 @@
 
 Pieces repeat much more than texts, so each worker keeps a bounded cache of
 what a piece encodes to. Unknown pieces go to the tokenizer in batches that
-are balanced by bytes.
+are balanced by bytes: plain words joined to one text, whose tokens are told
+apart by their word marks, all others one by one. Closing punctuation after a
+word is always a token group of its own, so such a piece is the sum of its word
+and its punctuation.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-BATCH_BYTES = 1 << 18
-CACHE_ENTRIES = 400_000
+import numpy as np
+
+BATCH_BYTES = 1 << 16
+CACHE_ENTRIES = 700_000
 CACHE_PIECE = 64  # longer pieces are encoded anew each time
+CLOSING = ".,;:!?"
 
 _SHARED: dict[tuple[type, str], PieceCache] = {}
 
 
+def by_bytes(pieces: Iterable[str]) -> Iterator[list[str]]:
+    batch, size = [], 0
+    for piece in pieces:
+        batch.append(piece)
+        size += 4 * len(piece)
+        if size >= BATCH_BYTES:
+            yield batch
+            batch, size = [], 0
+    if batch:
+        yield batch
+
+
 class PieceCache:
-    """What pieces encode to; subclasses say what is kept of an encoding."""
+    """What pieces encode to; subclasses say what is kept of their ids. Kept values of neighbours add up."""
+
+    between = ""  # joins plain words
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -27,6 +47,9 @@ class PieceCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.marked = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.marked[number] = self.is_mark(token)
         self.known: dict = {}
         self.long: list[str] = []
 
@@ -37,28 +60,57 @@ class PieceCache:
             _SHARED[cls, path] = cls(path)
         return _SHARED[cls, path]
 
-    def value(self, encoding):
+    def value(self, ids: list[int]):
+        raise NotImplementedError
+
+    def is_word(self, piece: str) -> bool:
+        """Whether the tokenizer takes the piece as one word."""
         raise NotImplementedError
 
-    def _encode(self, pieces: list[str]) -> dict:
+    def is_mark(self, token: str) -> bool:
+        """Whether a vocabulary entry shows a word's place: its first token or its last."""
+        raise NotImplementedError
+
+    def split(self, ids: np.ndarray) -> np.ndarray:
+        """Bounds of the words in the ids of joined words, from 0 to the end."""
+        raise NotImplementedError
+
+    def _encode(self, pieces: list[str]) -> None:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: self.value(e) for p, e in zip(pieces, found)}
+        self.known.update((p, self.value(e.ids)) for p, e in zip(pieces, found))
+
+    def _encode_words(self, words: list[str]) -> None:
+        (found,) = self.tokenizer.encode_batch_fast([self.between.join(words)], add_special_tokens=False)
+        ids = found.ids
+        bounds = self.split(np.array(ids)).tolist()
+        if len(bounds) != len(words) + 1:  # a letter that normalises to more than letters
+            return self._encode(words)
+        self.known.update((w, self.value(ids[a:b])) for w, a, b in zip(words, bounds, bounds[1:]))
 
     def lookup(self, pieces: Iterable[str]) -> dict:
         """A mapping that holds all ``pieces``; valid until the next call."""
         if len(self.known) > CACHE_ENTRIES:
             self.known = {}
+        known = self.known
         for piece in self.long:
-            self.known.pop(piece, None)
-        batch, size, self.long = [], 0, []
-        for piece in set(pieces).difference(self.known):
-            if len(piece) > CACHE_PIECE:
-                self.long.append(piece)
-            batch.append(piece)
-            size += 4 * len(piece)
-            if size >= BATCH_BYTES:
-                self.known.update(self._encode(batch))
-                batch, size = [], 0
-        if batch:
-            self.known.update(self._encode(batch))
-        return self.known
+            known.pop(piece, None)
+        words, others, sums = set(), set(), []
+        for piece in set(pieces).difference(known):
+            if self.is_word(piece):
+                words.add(piece)
+            elif (stem := piece.rstrip(CLOSING)) != piece and self.is_word(stem):
+                sums.append((piece, stem, piece[len(stem) :]))
+            else:
+                others.add(piece)
+        for _, stem, tail in sums:
+            if stem not in known:
+                words.add(stem)
+            if tail not in known:
+                others.add(tail)
+        self.long = [p for p in (*words, *others, *(p for p, _, _ in sums)) if len(p) > CACHE_PIECE]
+        for batch in by_bytes(words):
+            self._encode_words(batch)
+        for batch in by_bytes(others):
+            self._encode(batch)
+        known.update((piece, known[stem] + known[tail]) for piece, stem, tail in sums)
+        return known

@@ -15,7 +15,9 @@ their row; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,14 +46,24 @@ def split_safely(text: str) -> list[str]:
 class PieceLengths(PieceCache):
     """Token counts; a piece is known by its text with the leading space."""
 
-    value = staticmethod(len)
+    def value(self, ids: list[int]) -> int:
+        return len(ids)
+
+    def is_word(self, piece: str) -> bool:
+        return piece[:1] == " " and piece[1:].isalpha()
+
+    def is_mark(self, token: str) -> bool:
+        return token.startswith("\u0120")  # stands for a space
+
+    def split(self, ids: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.flatnonzero(self.marked[ids]), [len(ids)]))
 
     def counts(self, texts: list[str]) -> list[int]:
         split = []
         for text in texts:
             first, *rest = split_safely(text)
             split.append([first, *[" " + p for p in rest]])
-        known = self.lookup(p for pieces in split for p in pieces)
+        known = self.lookup(chain.from_iterable(split))
         return [sum(map(known.__getitem__, pieces)) for pieces in split]
 
 
