@@ -75,9 +75,11 @@ def codewords(languages: int) -> np.ndarray:
         return np.array(columns, np.float32).T
     bits = 8 * int(np.ceil(np.log2(languages))) + 16
     rng = np.random.default_rng(7)
-    while len(np.unique(code := rng.choice(np.array([-1, 1], np.float32), (languages, bits)), axis=0)) < languages:
-        pass
-    return code
+    while True:
+        code = rng.choice(np.array([-1, 1], np.float32), (languages, bits))
+        split = np.abs(code.sum(axis=0)) < languages  # a bit that is the same for all tells nothing
+        if split.all() and len(np.unique(code, axis=0)) == languages:
+            return code
 
 
 @dataclass

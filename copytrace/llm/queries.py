@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from copytrace.llm import ann, language, line_dedup, mixing, packing, simhash, tokens, vector_dedup
+from copytrace.llm import ann, language, line_dedup, mixing, packing, pii, simhash, tokens, toxicity, vector_dedup
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_vector_dedup": vector_dedup.op2_vector_dedup,
     "op3_neighbours": ann.op3_neighbours,
     "op4_mixing": mixing.op4_mixing,
@@ -13,6 +14,7 @@ QUERIES = {
     "op6_tokens": tokens.op6_tokens,
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_language": language.op10_language,
     "pipeline": corpus_pipeline.run,
 }
