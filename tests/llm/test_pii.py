@@ -27,7 +27,7 @@ def valid(kind, found):
     digits = re.sub(r"[^0-9]", "", found)
     return {
         "email": lambda: True,
-        "ip": lambda: all(int(x) <= 255 for x in found.split(".")),
+        "ip": lambda: all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or 0) <= 255 for x in found.split(".")),
         "card": lambda: 14 <= len(digits) <= 19 and luhn(digits),
         "phone": lambda: 10 <= len(digits) <= 15,
     }[kind]()
