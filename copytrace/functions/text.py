@@ -72,7 +72,11 @@ def jaccard(set_a: Column, set_b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(shared / union)
 
 
+# Words that name a class in a model's own label list; earlier classes win.
+LABEL_WORDS = {"ai": ("fake", "ai", "machine", "generated"), "human": ("real", "human")}
+
+
 def label_class(label: Column) -> Column:
     """Map a classifier's own label name to ``ai`` / ``human`` (null if neither)."""
     name = F.lower(label)
-    return F.when(name.rlike("fake|ai|machine|generated"), "ai").when(name.rlike("real|human"), "human")
+    return F.coalesce(*[F.when(name.rlike("|".join(words)), label_name) for label_name, words in LABEL_WORDS.items()])

@@ -14,6 +14,7 @@ added later come later in corpus order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -139,7 +140,9 @@ def _unknown(texts: DataFrame, stored: DataFrame, text: str) -> DataFrame:
 def _append(index: Index, arrived: DataFrame) -> dict[str, DataFrame]:
     last = index.documents.agg(F.max("batch")).first()[0]
     batch = 0 if last is None else last + 1
-    fresh = new_documents(index, arrived.dropDuplicates(["doc_id"]))
+    # Of several texts under one id the smallest one counts.
+    single = arrived.groupBy("doc_id").agg(F.min("text").alias("text"))
+    fresh = new_documents(index, single)
     documents = materialize(fresh.select(F.lit(batch).alias("batch"), "doc_id", "text"), "documents")
     sentences = materialize(with_sentences(documents, ["batch", "doc_id"]), "sentences")
     # A text that is indexed already keeps its vector and only gains a copy.
@@ -169,29 +172,55 @@ def out_of_vocabulary(index: Index, corpus: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg((F.lit(1.0) - known / F.count(F.lit(1))).alias("oov_ratio"))
 
 
-def _by_batch(name: str, df: DataFrame) -> DataFrame:
-    return df.withColumn("batch", F.col("bid.batch")) if name.endswith("weights") else df
+MANIFEST = "version long, folder string, last_batch long"
+
+
+def _state(spark: SparkSession, path: str):
+    """Newest manifest row of a saved index, None when there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+
+
+def _publish(spark: SparkSession, path: str, version: int, folder: str, last_batch: int) -> None:
+    """Make ``folder`` up to ``last_batch`` the index that readers see; one small file, added at once."""
+    row = spark.createDataFrame([(version, folder, last_batch)], MANIFEST).coalesce(1)
+    row.write.mode("append").parquet(f"{path}/manifest")
 
 
 def save_index(index: Index, path: str) -> None:
-    """One folder per table; all but the vocabulary hold one folder per batch."""
+    """Write the index to a fresh folder below ``path``, then switch readers to it.
+
+    One folder per table; all but the vocabulary hold one folder per batch. An
+    index saved to the same path before stays readable until the switch, and
+    nothing of it is read after.
+    """
+    before = _state(index.spark, path)
+    version = before.version + 1 if before else 0
+    folder = f"v{version}-{uuid.uuid4().hex[:8]}"
     span = index.documents.agg(F.min("batch").alias("lo"), F.max("batch").alias("hi")).first()
     for name, df in index.tables().items():
+        target = f"{path}/{folder}/{name}"
         if name == "vocabulary":
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            df.write.parquet(target)
         elif span["lo"] == span["hi"]:
-            df.drop("batch").write.mode("overwrite").parquet(f"{path}/{name}/batch={span['lo'] or 0}")
+            df.drop("batch").write.parquet(f"{target}/batch={span['lo'] or 0}")
         else:
-            _by_batch(name, df).write.mode("overwrite").partitionBy("batch").parquet(f"{path}/{name}")
+            by_batch = df.withColumn("batch", F.col("bid.batch")) if name.endswith("weights") else df
+            by_batch.write.partitionBy("batch").parquet(target)
+    _publish(index.spark, path, version, folder, span["hi"] or 0)
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
-    """Saved index. ``documents`` is written last, so batches it does not have
-    yet are left-overs of an unfinished append and stay out."""
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
-    tables["documents"] = tables["documents"].select("batch", "doc_id", "text")
-    last = tables["documents"].agg(F.max("batch")).first()[0] or 0
-    done = F.col("batch") <= last
+    """Saved index. Batches that the manifest does not have yet are left-overs
+    of an unfinished append and stay out."""
+    state = _state(spark, path)
+    if state is None:
+        raise FileNotFoundError(f"no saved index at {path}")
+    tables = {name: spark.read.parquet(f"{path}/{state.folder}/{name}") for name in TABLES}
+    done = F.col("batch") <= state.last_batch
+    tables["documents"] = tables["documents"].filter(done).select("batch", "doc_id", "text")
     tables["sentences"] = tables["sentences"].filter(done).select("batch", "doc_id", "sent_idx", "sentence")
     for name in ("document_weights", "sentence_weights"):
         tables[name] = tables[name].filter(done).drop("batch")
@@ -201,16 +230,21 @@ def load_index(spark: SparkSession, path: str) -> Index:
 def append_to_saved(spark: SparkSession, path: str, arrived: DataFrame) -> None:
     """Append new documents to a saved index, safe to repeat after a failure:
     a retry takes the same batch number and overwrites its folders."""
+    state = _state(spark, path)
     index = load_index(spark, path)
     parts = {name: materialize(df, name) for name, df in _append(index, arrived).items()}
-    last = index.documents.agg(F.max("batch")).first()[0]
-    batch = 0 if last is None else last + 1
-    for name in ("sentences", "document_weights", "sentence_weights", "documents"):
-        parts[name].drop("batch").write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+    batch = state.last_batch + 1
+    if parts["documents"].isEmpty():
+        return
+    for name, df in parts.items():
+        if name.endswith("weights"):
+            df = df.withColumn("bid", F.col("bid").withField("batch", F.lit(batch)))
+        df.drop("batch").write.mode("overwrite").parquet(f"{path}/{state.folder}/{name}/batch={batch}")
+    _publish(spark, path, state.version + 1, state.folder, batch)
 
 
 def index_health(index: Index, detector: str = "heuristic") -> DataFrame:
-    """One row: document count, sentence count, distinct vectors, detector in force."""
+    """One row: document count, sentence count, detector in force."""
     d = index.documents.agg(F.count(F.lit(1)).alias("documents"))
     s = index.sentences.agg(F.count(F.lit(1)).alias("sentences"))
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from copytrace.functions import text as T
 from copytrace.operators.evaluate import binary_metrics, confusion_matrix, roc_auc
 from copytrace.operators.split import stratified_split
-from copytrace.operators.vectorize import postings
 from copytrace.session import materialize
+from copytrace.sources.tables import spread
 
-# Largest vocabulary kept term by term; the model's weights live on the driver.
-# A larger one is hashed into twice as many slots.
-MAX_TERMS = 1 << 20
+# Labelled rows read for a fit at most. The vocabulary and the weights, which live on
+# the driver, are bounded through it; features are exact terms at every size.
+MAX_ROWS = 1_000_000
 
 
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -40,51 +40,44 @@ def _token_stages() -> list:
     ]
 
 
-def term_totals(train: DataFrame) -> tuple[int, int]:
-    """Distinct terms, and postings over all rows."""
-    per_term = postings(train, ["row_id"], n=2).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    row = per_term.agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings")).first()
-    return row["terms"], row["postings"]
-
-
-def fit_features(train: DataFrame, terms: int, max_df: float = 0.95, max_terms: int = MAX_TERMS) -> PipelineModel:
+def fit_features(train: DataFrame, max_df: float = 0.95) -> PipelineModel:
     """TF-IDF over uni- and bigrams, fitted on ``train`` only; unit rows."""
     n = train.count()
     tokenized = Pipeline(stages=_token_stages()).fit(train)
-    if terms <= max_terms:
-        counter = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max(1, terms), minDF=1.0, maxDF=max(1.0, max_df * n))
-    else:
-        counter = HashingTF(inputCol="grams", outputCol="tf", numFeatures=2 * max_terms)
     rows = tokenized.transform(train)
-    counting = Pipeline(stages=[counter]).fit(rows)
-    idf = IDF(inputCol="tf", outputCol="raw").fit(counting.transform(rows))
-    # Spark's idf is ln((1 + n) / (1 + df)); the wanted one adds 1. Terms over
-    # max_df (only the hashed form still has them) weigh nothing.
-    df_counts, base = idf.docFreq, idf.idf.toArray()
-    scale = DenseVector([0.0 if d > max_df * n else b + 1.0 for d, b in zip(df_counts, base)])
-    weigh = ElementwiseProduct(scalingVec=scale, inputCol="tf", outputCol="weighted")
+    # The size is a limit, not an allocation: every term within max_df is kept.
+    counter = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=2**31 - 1, minDF=1.0, maxDF=max(1.0, max_df * n)).fit(rows)
+    idf = IDF(inputCol="tf", outputCol="raw").fit(counter.transform(rows))
+    # Spark's idf is ln((1 + n) / (1 + df)); the wanted one adds 1.
+    weigh = ElementwiseProduct(scalingVec=DenseVector(idf.idf.toArray() + 1.0), inputCol="tf", outputCol="weighted")
     unit = Normalizer(p=2.0, inputCol="weighted", outputCol="features")
     drop = SQLTransformer(
         statement="SELECT * EXCEPT (tokens, bigrams, grams, tf, weighted) FROM __THIS__"
     )
-    return PipelineModel(stages=[*tokenized.stages, *counting.stages, weigh, unit, drop])
+    return PipelineModel(stages=[*tokenized.stages, counter, weigh, unit, drop])
+
+
+def bounded_rows(labelled: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """All rows, or about ``max_rows`` of them chosen by a hash of row_id."""
+    n = labelled.count()
+    if n <= max_rows:
+        return labelled
+    return labelled.filter(F.pmod(F.xxhash64(F.lit("fit"), "row_id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
 
 
-def train_classifier(labelled: DataFrame, max_df: float = 0.95, c: float = 1.0, max_iter: int = 1000) -> PipelineModel:
+def train_classifier(labelled: DataFrame, max_df: float = 0.95, c: float = 1.0, max_iter: int = 1000, max_rows: int = MAX_ROWS) -> PipelineModel:
     """Balanced L2 logistic regression on TF-IDF; ``labelled(row_id, text, label)``.
 
     Class 1 is ``ai``. The penalty is 1 / (c n) because Spark averages the loss.
+    At most about ``max_rows`` labelled rows are read.
     """
-    rows = materialize(balanced_weights(labelled).withColumn("target", (F.col("label") == "ai").cast("double")), "train")
-    terms, postings_total = term_totals(rows)
-    features = fit_features(rows, terms, max_df)
+    target = (F.col("label") == "ai").cast("double")
+    rows = balanced_weights(bounded_rows(labelled, max_rows)).withColumn("target", target)
+    rows = spread(materialize(rows, "train"), "row_id")
+    features = fit_features(rows, max_df)
     n = max(1, rows.count())
+    # Every pass over the data runs in as many tasks as the rows have partitions.
     matrix = features.transform(rows)
-    # Each task returns a gradient as wide as the vocabulary: give a task at
-    # least that many postings, so that gradients do not outweigh the data.
-    useful = max(1, postings_total // max(1, terms))
-    if useful < matrix.rdd.getNumPartitions():
-        matrix = matrix.coalesce(useful)
     lr = LogisticRegression(
         featuresCol="features",
         labelCol="target",

@@ -11,8 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Accepted suffixes; the namespace of word-processing XML.
-SUFFIXES = (".txt", ".pdf", ".docx")
+# Fixed value: the namespace of word-processing XML.
 WORD_XML = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 Extractor = Callable[[bytes], str]
@@ -32,19 +31,28 @@ def text_from_docx(data: bytes) -> str:
 EXTRACTORS: Mapping[str, Extractor] = {".txt": text_from_txt, ".docx": text_from_docx}
 
 
-def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """path, content of the files directly in ``folder``; none when it is missing."""
-    schema = "path string, content binary"
+# Files of the accepted suffixes in any case; the filter runs before a file is opened.
+ACCEPTED = "*.{[tT][xX][tT],[pP][dD][fF],[dD][oO][cC][xX]}"
+MAX_BYTES = 256 << 20
+
+
+def scan_folder(spark: SparkSession, folder: str, pattern: str = "*", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """path, content of the files directly in ``folder``; none when it is missing.
+
+    A file of over ``max_bytes`` is not read: its content is null.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.format("binaryFile").load(folder).select("path", "content")
+        return spark.createDataFrame([], "path string, content binary")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    read = found.filter(F.col("length") <= max_bytes).select("path", "content")
+    return read.union(found.filter(F.col("length") > max_bytes).select("path", F.lit(None).cast("binary")))
 
 
 def extract_text(files: DataFrame, extractors: Mapping[str, Extractor] = EXTRACTORS) -> DataFrame:
     """doc_id (file name), text, reason per file.
 
-    ``reason`` is null for good files, else ``unsupported`` or ``unreadable``.
+    ``reason`` is null for good files, else ``unsupported``, ``unreadable`` or ``too large`` (null content).
     PDF needs a caller's extractor, passed as ``{**EXTRACTORS, ".pdf": fn}``.
     """
     named = files.withColumn("doc_id", F.element_at(F.split("path", "/"), -1))
@@ -56,7 +64,9 @@ def extract_text(files: DataFrame, extractors: Mapping[str, Extractor] = EXTRACT
             texts, reasons = [], []
             for suffix, data in zip(pdf["suffix"], pdf["content"]):
                 text, reason = None, "unsupported"
-                if suffix in known:
+                if suffix in known and data is None:
+                    reason = "too large"
+                elif suffix in known:
                     try:
                         text, reason = known[suffix](bytes(data)), None
                     except Exception:  # a broken file must not fail the job
@@ -72,9 +82,7 @@ def extract_text(files: DataFrame, extractors: Mapping[str, Extractor] = EXTRACT
 
 def load_corpus(spark: SparkSession, folder: str, extractors: Mapping[str, Extractor] = EXTRACTORS) -> DataFrame:
     """doc_id, text of all supported, readable files of a folder (order = doc_id)."""
-    files = scan_folder(spark, folder)
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    return accepted(extract_text(files.filter(suffix.isin(*SUFFIXES)), extractors))
+    return accepted(extract_text(scan_folder(spark, folder, ACCEPTED), extractors))
 
 
 def accepted(extracted: DataFrame) -> DataFrame:

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Class numbers.
-LABEL_TO_ID = {"human": 0, "ai": 1}
-
-
 def read_labelled_csv(spark: SparkSession, path: str, on_unknown: str = "keep") -> DataFrame:
     raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
     return normalize_labelled(raw, on_unknown)

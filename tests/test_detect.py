@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,12 +79,39 @@ def test_classifier_round_trip(spark):
     assert [r["backend"] for r in filled] == ["classifier", "classifier", "heuristic"]
 
 
-def test_hashed_features_agree(spark):
+def test_features_are_all_terms(spark):
     rows = labelled(spark)
-    terms, _ = train.term_totals(rows)
-    assert terms == train.fit_features(rows, terms).stages[3].vocabulary.__len__()
-    hashed = train.fit_features(rows, terms, max_terms=terms - 1)
-    assert hashed.transform(rows).first()["features"].size == 2 * (terms - 1)
+    grams = set()
+    for r in rows.collect():
+        toks = [t for t in r["text"].split() if len(t) > 1]
+        grams |= {*toks, *map(" ".join, zip(toks, toks[1:]))}
+    assert set(train.fit_features(rows, 1.0).stages[3].vocabulary) == grams
+
+
+def test_bounded_rows(spark):
+    rows = spark.range(4000).selectExpr("id AS row_id")
+    assert train.bounded_rows(rows, 4000).count() == 4000
+    assert 800 < train.bounded_rows(rows, 1000).count() < 1200
+
+
+def test_fit_is_the_optimum(spark):
+    """Weights against a dense solution of the same penalised loss."""
+    rows = labelled(spark, 20).union(spark.createDataFrame([("x", "honestly the approach demonstrates lol", "human"), ("y", "that game was significant", "ai")], "row_id string, text string, label string"))
+    model = train.train_classifier(rows)
+    prepared = train.balanced_weights(rows).withColumn("target", (F.col("label") == "ai").cast("double"))
+    data = train.PipelineModel(stages=model.stages[:-1]).transform(prepared).collect()
+    x = np.array([r["features"].toArray() for r in data])
+    y, w = np.array([r["target"] for r in data]), np.array([r["weight"] for r in data])
+    coef, bias, lam = np.zeros(x.shape[1]), 0.0, 1.0 / len(x)
+    for _ in range(60):  # Newton
+        p = 1 / (1 + np.exp(-(x @ coef + bias)))
+        z = np.hstack([x, np.ones((len(x), 1))])
+        ridge = np.diag([lam] * x.shape[1] + [0.0])
+        grad = z.T @ (w * (p - y)) / w.sum() + ridge @ np.append(coef, bias)
+        step = np.linalg.solve(z.T @ (z * (w * p * (1 - p))[:, None]) / w.sum() + ridge + 1e-12 * np.eye(len(ridge)), grad)
+        coef, bias = coef - step[:-1], bias - step[-1]
+    assert model.stages[-1].coefficients.toArray() == pytest.approx(coef, abs=2e-3)
+    assert model.stages[-1].intercept == pytest.approx(bias, abs=2e-3)
 
 
 def test_evaluation_report(spark):
@@ -153,3 +181,27 @@ def test_temperature(spark):
     calibrate.write_report(report, path)
     assert calibrate.read_temperature(spark, path) == pytest.approx(t)
     assert report.first()["nll_after"] < report.first()["nll_before"]
+
+
+def test_one_entry_for_all_backends(spark):
+    df = texts(spark, UNIFORM, VARIED, None)
+    plain = {r["doc_id"]: r for r in detect.detect(df, "transformer").collect()}  # nothing else at hand
+    assert {r["backend"] for r in plain.values()} == {"heuristic"} and len(plain[0]["explanation"]) == 3
+    logits = spark.createDataFrame([(0, [2.0, 0.0])], "doc_id bigint, logits array<double>")
+    found = {r["doc_id"]: r for r in detect.detect(df, "transformer", logits=logits, labels=["Fake", "Real"], temperature=2.0, model="org/net").collect()}
+    assert [found[i]["backend"] for i in range(3)] == ["transformer", "heuristic", "heuristic"]
+    assert found[0]["explanation"][:3] == plain[0]["explanation"]
+    assert found[0]["explanation"][3] == "transformer classifier (net) predicts AI-generated with 73.1% probability"
+    assert found[1]["explanation"] == plain[1]["explanation"] and found[1]["ai_probability"] == plain[1]["ai_probability"]
+    model = train.train_classifier(labelled(spark))
+    scored = {r["doc_id"]: r for r in detect.detect(df.withColumnRenamed("doc_id", "name"), "auto", key="name", classifier=model).withColumnRenamed("name", "doc_id").collect()}
+    assert [scored[i]["backend"] for i in range(3)] == ["classifier", "classifier", "heuristic"]
+    assert scored[0]["explanation"] == plain[0]["explanation"]
+
+
+def test_label_positions():
+    assert detect.label_positions(["Real", "Fake"]) == (1, 0)
+    assert detect.label_positions(["Human-written", "Machine", "other"]) == (1, 0)
+    for bad in (["LABEL_0", "LABEL_1"], ["ai", "ai"], []):
+        with pytest.raises(ValueError):
+            detect.label_positions(bad)

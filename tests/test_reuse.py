@@ -132,13 +132,26 @@ def test_incremental_add_and_round_trip(spark, small):
 def test_unfinished_append_is_ignored_and_repeated(spark, small):
     path = new_path(spark, "ix")
     I.save_index(small, path)
+    folder = I._state(spark, path).folder
     left_over = small.sentences.withColumn("doc_id", F.lit(9)).drop("batch")
-    left_over.write.parquet(f"{path}/sentences/batch=1")
+    left_over.write.parquet(f"{path}/{folder}/sentences/batch=1")
     assert I.index_health(I.load_index(spark, path)).first()["sentences"] == 2
     I.append_to_saved(spark, path, docs(spark, [(9, "Rain fell. Owls hunt.")]))
     assert I.index_health(I.load_index(spark, path)).first()["sentences"] == 4
 
 
+def test_saving_over_a_grown_index_forgets_it(spark, small):
+    path = new_path(spark, "ix")
+    with pytest.raises(FileNotFoundError):
+        I.load_index(spark, path)
+    I.save_index(small, path)
+    I.append_to_saved(spark, path, docs(spark, [(9, "Rain fell.")]))
+    I.save_index(I.build_index(docs(spark, [(7, OWL)])), path)
+    assert [r["doc_id"] for r in I.load_index(spark, path).documents.collect()] == [7]
+    I.append_to_saved(spark, path, docs(spark, [(8, "b"), (8, "a"), (7, "other")]))
+    assert sorted((r["doc_id"], r["text"]) for r in I.load_index(spark, path).documents.collect()) == [(7, OWL), (8, "a")]
+
+
 def test_overlay(spark):
     extra = docs(spark, [(2, "new"), (5, "five")])
     rows = {r["doc_id"]: r["text"] for r in I.overlay(docs(spark, CORPUS), extra).collect()}

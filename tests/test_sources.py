@@ -34,6 +34,14 @@ def test_folder(spark, tmp_path):
     with_pdf = {**files.EXTRACTORS, ".pdf": files.text_from_txt}
     assert files.load_corpus(spark, str(tmp_path), with_pdf).count() == 3
     assert files.load_corpus(spark, str(tmp_path / "missing")).count() == 0
+    limited = files.extract_text(files.scan_folder(spark, str(tmp_path), files.ACCEPTED, 6))
+    assert {r["doc_id"]: r["reason"] for r in files.rejected(limited).collect()}["a.docx"] == "too large"
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        (tmp_path / "big.zip").write_bytes(b"0" * 2000)  # foreign files are not opened
+        assert files.load_corpus(spark, str(tmp_path), with_pdf).count() == 3
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
 
 
 def test_valid_texts(spark):
