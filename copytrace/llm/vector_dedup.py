@@ -47,8 +47,9 @@ THRESHOLD = 0.9
 BLOCK_DIMS = 16
 CELL = 8192  # vectors of a cell, as far as the pivots can tell cells apart
 MOST_PIVOTS = 1024
-CHUNK = 2048
+CHUNK = 8192
 _SLACK = 1e-6
+_ROUGH = 1e-4  # error of single-precision block distances at most
 
 
 def rotation(dims: int, seed: int = 11) -> np.ndarray:
@@ -102,12 +103,14 @@ def _tile_links(left: dict, right: dict | None, block: int, blocks: list[slice],
     other = left if right is None else right
     s = blocks[block]
     found_a, found_b = [], []
-    p, q = left["turned"][:, s], other["turned"][:, s]
-    q_norm = (q * q).sum(axis=1)
-    for at in range(0, len(p), 512):
-        part = p[at : at + 512]
-        far = (part * part).sum(axis=1)[:, None] + q_norm[None, :] - 2 * part @ q.T
-        i, j = np.nonzero(far <= budgets[block] + _SLACK)
+    # |p - q|^2 as one product in single precision: (-2 p, |p|^2, 1) . (q, 1, |q|^2)
+    p, q = left["turned"][:, s].astype(np.float32), other["turned"][:, s].astype(np.float32)
+    ones = np.ones((1, 1), np.float32)
+    p = np.hstack((-2 * p, (p * p).sum(axis=1, keepdims=True), ones.repeat(len(p), 0)))
+    q = np.hstack((q, ones.repeat(len(q), 0), (q * q).sum(axis=1, keepdims=True))).T
+    most = np.float32(budgets[block] + _ROUGH)
+    for at in range(0, len(p), 256):
+        i, j = np.divmod(np.flatnonzero(p[at : at + 256] @ q <= most), q.shape[1])
         i += at
         if right is None:
             i, j = i[i < j], j[i < j]
