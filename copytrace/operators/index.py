@@ -4,9 +4,10 @@
 ``sentences(batch, doc_id, sent_idx, sentence)``
 ``vocabulary(term, df, idf, doc_hot, sent_hot)``  frozen at build time, with what is
     hot for the matching join: both of its sides must agree on that
+``document_copies`` / ``sentence_copies(h, bid, member)``  every place of a text: its hash,
+    the key of its first place in corpus order (batch, doc_id[, sent_idx]), its own key
 ``document_weights`` / ``sentence_weights(bid, term, w, hot, hot_norm)``
-    unit TF-IDF vectors, one per *distinct* text; ``bid`` is the key of its
-    first occurrence in corpus order (batch, doc_id[, sent_idx])
+    unit TF-IDF vectors, one per *distinct* text, under the key of its first place
 
 ``batch`` is 0 for the first build and grows with every append, so documents
 added later come later in corpus order.
@@ -36,7 +37,7 @@ NGRAMS = 2
 # long shortlists, a lower one makes the first join cheaper.
 HOT_DOCUMENTS = 256
 HOT_ROWS = 2048
-TABLES = ("documents", "sentences", "vocabulary", "document_weights", "sentence_weights")
+TABLES = ("documents", "sentences", "vocabulary", "document_copies", "sentence_copies", "document_weights", "sentence_weights")
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,8 @@ class Index:
     documents: DataFrame
     sentences: DataFrame
     vocabulary: DataFrame
+    document_copies: DataFrame
+    sentence_copies: DataFrame
     document_weights: DataFrame
     sentence_weights: DataFrame
 
@@ -68,6 +71,22 @@ def distinct_texts(df: DataFrame, key: Column, text: str) -> DataFrame:
     return df.groupBy(F.col(text).alias("text")).agg(F.min(key).alias("bid"), F.count(F.lit(1)).alias("copies"))
 
 
+def copies_of(df: DataFrame, key: Column, text: str, stored: DataFrame | None = None) -> DataFrame:
+    """h, bid, member of every row; only hashes and keys move. Texts in ``stored`` keep their first place."""
+    places = df.select(F.md5(text).alias("h"), key.alias("member"))
+    firsts = places.groupBy("h").agg(F.min("member").alias("bid"))
+    if stored is not None:
+        known = stored.filter(F.col("bid") == F.col("member")).select("h", F.col("bid").alias("known"))
+        firsts = firsts.join(known, "h", "left").select("h", F.coalesce("known", "bid").alias("bid"))
+    return places.join(firsts, "h").select("h", "bid", "member")
+
+
+def first_texts(df: DataFrame, key: Column, text: str, copies: DataFrame) -> DataFrame:
+    """bid, copies, text of the rows of ``df`` that are a text's first place."""
+    counted = copies.groupBy("bid").agg(F.count(F.lit(1)).alias("copies"))
+    return df.select(key.alias("bid"), F.col(text).alias("text")).join(counted, "bid")
+
+
 def fit_vocabulary(
     doc_post: DataFrame, sent_post: DataFrame, rows: int, hot_documents: int, hot_rows: int
 ) -> DataFrame:
@@ -103,19 +122,21 @@ def build_index(corpus: DataFrame, hot_documents: int = HOT_DOCUMENTS, hot_rows:
     """Index of ``corpus(doc_id, text)``."""
     documents = materialize(corpus.select(F.lit(0).alias("batch"), "doc_id", "text"), "documents")
     sentences = materialize(with_sentences(documents, ["batch", "doc_id"]), "sentences")
+    doc_copies = materialize(copies_of(documents, document_key(), "text"), "doccopies")
+    sent_copies = materialize(copies_of(sentences, sentence_key(), "sentence"), "sentcopies")
     # Distinct texts and their postings, each computed once.
-    doc_post = materialize(
-        postings(distinct_texts(documents, document_key(), "text"), ["bid", "copies"], n=NGRAMS), "docpost"
-    )
-    sent_post = materialize(
-        postings(distinct_texts(sentences, sentence_key(), "sentence"), ["bid", "copies"], n=NGRAMS), "sentpost"
-    )
+    doc_texts = first_texts(documents, document_key(), "text", doc_copies)
+    doc_post = materialize(postings(doc_texts, ["bid", "copies"], n=NGRAMS), "docpost")
+    sent_texts = first_texts(sentences, sentence_key(), "sentence", sent_copies)
+    sent_post = materialize(postings(sent_texts, ["bid", "copies"], n=NGRAMS), "sentpost")
     rows = documents.count() + sentences.count()
     vocabulary = materialize(fit_vocabulary(doc_post, sent_post, rows, hot_documents, hot_rows), "vocabulary")
     return Index(
         documents,
         sentences,
         vocabulary,
+        doc_copies,
+        sent_copies,
         materialize(weigh(doc_post.drop("copies"), vocabulary, "doc_hot"), "docweights"),
         materialize(weigh(sent_post.drop("copies"), vocabulary, "sent_hot"), "sentweights"),
     )
@@ -131,26 +152,22 @@ def overlay(corpus: DataFrame, extra: DataFrame) -> DataFrame:
     return corpus.join(extra.select("doc_id"), "doc_id", "left_anti").unionByName(extra)
 
 
-def _unknown(texts: DataFrame, stored: DataFrame, text: str) -> DataFrame:
-    """Rows of ``texts`` not in ``stored``; only hashes move, one per stored text."""
-    known = stored.select(F.md5(text).alias("_h")).distinct()
-    return texts.withColumn("_h", F.md5("text")).join(known, "_h", "left_anti").drop("_h")
-
-
-def _append(index: Index, arrived: DataFrame) -> dict[str, DataFrame]:
-    last = index.documents.agg(F.max("batch")).first()[0]
-    batch = 0 if last is None else last + 1
+def _append(index: Index, arrived: DataFrame, batch: int) -> dict[str, DataFrame]:
     # Of several texts under one id the smallest one counts.
     single = arrived.groupBy("doc_id").agg(F.min("text").alias("text"))
     fresh = new_documents(index, single)
     documents = materialize(fresh.select(F.lit(batch).alias("batch"), "doc_id", "text"), "documents")
     sentences = materialize(with_sentences(documents, ["batch", "doc_id"]), "sentences")
     # A text that is indexed already keeps its vector and only gains a copy.
-    docs = _unknown(distinct_texts(documents, document_key(), "text"), index.documents, "text")
-    sents = _unknown(distinct_texts(sentences, sentence_key(), "sentence"), index.sentences, "sentence")
+    doc_copies = materialize(copies_of(documents, document_key(), "text", index.document_copies), "doccopies")
+    sent_copies = materialize(copies_of(sentences, sentence_key(), "sentence", index.sentence_copies), "sentcopies")
+    docs = first_texts(documents, document_key(), "text", doc_copies)
+    sents = first_texts(sentences, sentence_key(), "sentence", sent_copies)
     return {
         "documents": documents,
         "sentences": sentences,
+        "document_copies": doc_copies,
+        "sentence_copies": sent_copies,
         "document_weights": weigh(postings(docs, ["bid"], n=NGRAMS), index.vocabulary, "doc_hot"),
         "sentence_weights": weigh(postings(sents, ["bid"], n=NGRAMS), index.vocabulary, "sent_hot"),
     }
@@ -158,7 +175,8 @@ def _append(index: Index, arrived: DataFrame) -> dict[str, DataFrame]:
 
 def add_documents(index: Index, arrived: DataFrame) -> Index:
     """Index with the new documents of ``arrived`` added; the vocabulary stays frozen."""
-    parts = {name: materialize(df, name) for name, df in _append(index, arrived).items()}
+    last = index.documents.agg(F.max("batch")).first()[0]
+    parts = {name: materialize(df, name) for name, df in _append(index, arrived, 0 if last is None else last + 1).items()}
     return Index(
         vocabulary=index.vocabulary, **{name: getattr(index, name).unionByName(df) for name, df in parts.items()}
     )
@@ -207,7 +225,8 @@ def save_index(index: Index, path: str) -> None:
         elif span["lo"] == span["hi"]:
             df.drop("batch").write.parquet(f"{target}/batch={span['lo'] or 0}")
         else:
-            by_batch = df.withColumn("batch", F.col("bid.batch")) if name.endswith("weights") else df
+            of = {"weights": "bid.batch", "copies": "member.batch"}.get(name.rsplit("_", 1)[-1])
+            by_batch = df.withColumn("batch", F.col(of)) if of else df
             by_batch.write.partitionBy("batch").parquet(target)
     _publish(index.spark, path, version, folder, span["hi"] or 0)
 
@@ -222,7 +241,7 @@ def load_index(spark: SparkSession, path: str) -> Index:
     done = F.col("batch") <= state.last_batch
     tables["documents"] = tables["documents"].filter(done).select("batch", "doc_id", "text")
     tables["sentences"] = tables["sentences"].filter(done).select("batch", "doc_id", "sent_idx", "sentence")
-    for name in ("document_weights", "sentence_weights"):
+    for name in ("document_copies", "sentence_copies", "document_weights", "sentence_weights"):
         tables[name] = tables[name].filter(done).drop("batch")
     return Index(**tables)
 
@@ -232,13 +251,11 @@ def append_to_saved(spark: SparkSession, path: str, arrived: DataFrame) -> None:
     a retry takes the same batch number and overwrites its folders."""
     state = _state(spark, path)
     index = load_index(spark, path)
-    parts = {name: materialize(df, name) for name, df in _append(index, arrived).items()}
     batch = state.last_batch + 1
+    parts = {name: materialize(df, name) for name, df in _append(index, arrived, batch).items()}
     if parts["documents"].isEmpty():
         return
     for name, df in parts.items():
-        if name.endswith("weights"):
-            df = df.withColumn("bid", F.col("bid").withField("batch", F.lit(batch)))
         df.drop("batch").write.mode("overwrite").parquet(f"{path}/{state.folder}/{name}/batch={batch}")
     _publish(spark, path, state.version + 1, state.folder, batch)
 

@@ -50,8 +50,20 @@ def detect_with_fallback(spark, folder):
     return detect.with_fallback(scored, corpus_table(spark, folder), ["doc_id"])
 
 
+def _told(found):
+    return found.withColumn("explanation", F.array_join("explanation", " | "))
+
+
 def detect_score(spark, folder):
-    return detect.detect_score(detect.detect_heuristic(corpus_table(spark, folder)), ["doc_id"])
+    found = detect.detect(corpus_table(spark, folder), "heuristic")
+    return _told(detect.detect_score(found, ["doc_id"]))
+
+
+def detect_transformer(spark, folder):
+    """Documents with logits get the model's verdict and reason, all others the heuristic; with all reasons."""
+    logits = _logits(spark, folder).withColumnRenamed("vec_id", "doc_id")
+    found = detect.detect(corpus_table(spark, folder), "transformer", logits=logits, labels=LABELS, temperature=TEMPERATURE)
+    return _told(found)
 
 
 def _labelled(spark, folder):
@@ -140,6 +152,7 @@ QUERIES = {
     "detect_from_logits": detect_from_logits,
     "detect_with_fallback": detect_with_fallback,
     "detect_score": detect_score,
+    "detect_transformer": detect_transformer,
     "binary_metrics": binary_metrics,
     "confusion_matrix": confusion_matrix,
     "roc_auc": roc_auc,
@@ -208,22 +221,33 @@ def _sql_nll(t: str) -> str:
 
 _RESULT_SQL = ", ".join(RESULT)
 
-SQL = {
-    "detect_heuristic": f"WITH {_sql_heuristic('documents', 'doc_id')} SELECT * FROM h",
-    "explain_signals": f"""{_SELF}, {sql_text_stats('documents', 'doc_id')},
+# signals(doc_id, repeated, explanation), stats and h over the documents.
+_SIGNALS = f"""{_SELF}, {sql_text_stats('documents', 'doc_id')},
 r AS (SELECT doc_id, count(*) FILTER (similarity > 70 AND partner_idx IS NOT NULL) AS repeated FROM rep GROUP BY doc_id),
-x AS (SELECT doc_id, lexical_diversity, burstiness, coalesce(repeated, 0) AS repeated FROM stats LEFT JOIN r USING (doc_id))
-SELECT doc_id, repeated, array_to_string(list_filter([
+x AS (SELECT doc_id, lexical_diversity, burstiness, coalesce(repeated, 0) AS repeated FROM stats LEFT JOIN r USING (doc_id)),
+signals AS (SELECT doc_id, repeated, array_to_string(list_filter([
   CASE WHEN lexical_diversity < 0.4::DOUBLE THEN 'low lexical diversity (' || CAST({C.sql_round('lexical_diversity', 2)} AS DECIMAL(20, 2)) || ', vocabulary is unusually repetitive for this length)' END,
   CASE WHEN burstiness < 4.0::DOUBLE THEN 'highly uniform sentence structure (sentence-length variance is ' || CAST({C.sql_round('burstiness', 2)} AS DECIMAL(20, 2)) || ', unusually low)' END,
   CASE WHEN repeated > 0 THEN 'repetitive phrasing detected in ' || repeated || ' sentence(s)' END], lambda s: s IS NOT NULL), ' | ') AS explanation
-FROM x""",
+FROM x),
+hp AS (SELECT doc_id, ({_sql_inverse('lexical_diversity', '0.4')} + {_sql_inverse('burstiness', '4.0')}) / 2.0::DOUBLE AS p FROM stats),
+h AS (SELECT doc_id, {_sql_verdict('p', '1.0::DOUBLE - p', 'heuristic')} FROM hp)"""
+
+SQL = {
+    "detect_heuristic": f"WITH {_sql_heuristic('documents', 'doc_id')} SELECT * FROM h",
+    "explain_signals": f"{_SIGNALS} SELECT * FROM signals",
     "detect_from_logits": f"WITH {_LOGITS} SELECT vec_id, {_sql_verdict('p1', 'p0', 'transformer')}, {_REASON} AS reason FROM p",
     "detect_with_fallback": f"""WITH {_LOGITS}, m AS (SELECT vec_id AS doc_id, {_sql_verdict('p1', 'p0', 'transformer')} FROM p),
 {_sql_heuristic('documents', 'doc_id')}
 SELECT doc_id, {', '.join(f'CASE WHEN m.doc_id IS NULL THEN h.{c} ELSE m.{c} END AS {c}' for c in RESULT)}
 FROM h LEFT JOIN m USING (doc_id)""",
-    "detect_score": f"WITH {_sql_heuristic('documents', 'doc_id')} SELECT doc_id, {C.sql_percent('ai_probability')} AS score, {_RESULT_SQL} FROM h",
+    "detect_score": f"""{_SIGNALS}
+SELECT doc_id, {C.sql_percent('ai_probability')} AS score, {_RESULT_SQL}, explanation FROM h JOIN signals USING (doc_id)""",
+    "detect_transformer": f"""{_SIGNALS},
+m AS (WITH {_LOGITS} SELECT vec_id AS doc_id, {_sql_verdict('p1', 'p0', 'transformer')}, {_REASON} AS reason FROM p)
+SELECT doc_id, {', '.join(f'CASE WHEN m.doc_id IS NULL THEN h.{c} ELSE m.{c} END AS {c}' for c in RESULT)},
+       concat_ws(' | ', nullif(explanation, ''), reason) AS explanation
+FROM h JOIN signals USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "binary_metrics": f"""WITH {_TURN_SCORES}, c AS ({_sql_counts('truth', 'predicted', "'ai'", 'scored')}) {_METRICS}""",
     "confusion_matrix": f"""WITH {_TURN_SCORES}
 SELECT truth AS label, count(*) FILTER (predicted = 'ai') AS pred_ai, count(*) FILTER (predicted = 'human') AS pred_human FROM scored GROUP BY truth""",

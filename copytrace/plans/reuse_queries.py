@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copytrace.functions.numeric import percent, round_even
@@ -17,7 +20,7 @@ TOP = 10
 SHORTLIST = 20
 NEIGHBOURS = 5
 PADDED = 3
-LSA_COMPONENTS = 32
+LSA_COMPONENTS = 100
 
 _SPACES: dict[tuple[str, str], lsa.LatentSpace] = {}
 
@@ -114,12 +117,13 @@ def reuse_score(spark, folder):
 def reuse_report(spark, folder):
     report = reuse.reuse_report(query_table(spark, folder), C.shared_index(spark, folder), TOP)
     copied = F.size(F.filter("sentence_matches", lambda m: m["similarity"] > 70.0))
+    sources = F.transform("matches", lambda m: F.concat_ws(":", m["rank"], m["source"]))
+    found = F.transform("sentence_matches", lambda m: F.concat_ws(":", m["sent_idx"], F.coalesce(m["source"].cast("string"), F.lit("none"))))
     return report.select(
         "query_id",
         "score",
-        F.size("matches").alias("n_matches"),
-        F.get("matches", F.lit(0))["source"].alias("top_source"),
-        F.size("sentence_matches").alias("n_sentences"),
+        F.array_join(sources, ",").alias("matches"),
+        F.array_join(found, ",").alias("sentence_sources"),
         copied.alias("copied_sentences"),
     )
 
@@ -133,14 +137,23 @@ def _arrivals(spark, folder):
 
 
 def build_index(spark, folder):
+    """Rows of every table of the index and a sum over its content."""
     ix = I.build_index(corpus_table(spark, folder))
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in ix.tables().items()
+    first = (F.col("bid") == F.col("member")).cast("double")
+    content = {
+        "documents": F.length("text").cast("double"),
+        "sentences": F.length("sentence").cast("double"),
+        "vocabulary": F.col("idf"),
+        "document_copies": first,
+        "sentence_copies": first,
+        "document_weights": F.col("w"),
+        "sentence_weights": F.col("w"),
+    }
+    sums = [
+        df.agg(F.count(F.lit(1)).alias("rows"), round_even(F.sum(content[name]), 2).alias("content")).select(F.lit(name).alias("name"), "rows", "content")
+        for name, df in ix.tables().items()
     ]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    return reduce(DataFrame.unionByName, sums)
 
 
 def new_documents(spark, folder):
@@ -352,11 +365,12 @@ _ALL_DOCS = "arrived AS (SELECT -item_id - 1 AS doc_id, text FROM benchmark)"
 
 SQL = {
     "reuse_report": f"""{_DOCS_AND_SENTENCES},
-d AS (SELECT query_id, max(similarity) AS score, count(*) AS n_matches, min_by(source, rank) AS top_source
+d AS (SELECT query_id, max(similarity) AS score, string_agg(rank || ':' || source, ',' ORDER BY rank) AS matches
       FROM doc_ranking WHERE rank <= {TOP} GROUP BY query_id),
-m AS (SELECT query_id, count(*) AS n_sentences, count(*) FILTER (similarity > 70.0) AS copied_sentences FROM best GROUP BY query_id)
-SELECT q.query_id, coalesce(score, 0.0::DOUBLE) AS score, coalesce(n_matches, 0) AS n_matches, top_source,
-       coalesce(n_sentences, 0) AS n_sentences, coalesce(copied_sentences, 0) AS copied_sentences
+m AS (SELECT query_id, string_agg(sent_idx || ':' || coalesce(source::VARCHAR, 'none'), ',' ORDER BY sent_idx) AS sentence_sources,
+             count(*) FILTER (similarity > 70.0) AS copied_sentences FROM best GROUP BY query_id)
+SELECT q.query_id, coalesce(score, 0.0::DOUBLE) AS score, coalesce(matches, '') AS matches,
+       coalesce(sentence_sources, '') AS sentence_sources, coalesce(copied_sentences, 0) AS copied_sentences
 FROM q LEFT JOIN d USING (query_id) LEFT JOIN m USING (query_id)""",
     "document_ranking": _RANKING,
     "reuse_score": f"""WITH {C.SQL_DOCUMENT_SCORES}
@@ -385,13 +399,17 @@ UNION ALL SELECT query_id, sent_idx, source, similarity FROM best WHERE similari
     "corpus_sentence_match": _CORPUS_MATCH,
     "fit_corpus_idf": f"WITH {C.SQL_INDEX} SELECT term, df, {C.sql_round('idf', 6)} AS idf FROM vocab",
     "build_index": f"""WITH {C.SQL_INDEX},
+{C.cte_weights('dw', 'dp', 'doc_id', 'vocab')},
+{C.cte_weights('sw', 'sp', 'doc_id, sent_idx', 'vocab')},
 du AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text),
 su AS (SELECT min((doc_id, sent_idx)) AS k FROM ds GROUP BY sentence)
-SELECT 'documents' AS name, count(*) AS rows FROM documents
-UNION ALL SELECT 'sentences', count(*) FROM ds
-UNION ALL SELECT 'vocabulary', count(*) FROM vocab
-UNION ALL SELECT 'document_weights', count(*) FROM dp SEMI JOIN du USING (doc_id)
-UNION ALL SELECT 'sentence_weights', count(*) FROM sp SEMI JOIN su ON (sp.doc_id, sp.sent_idx) = su.k""",
+SELECT 'documents' AS name, count(*) AS rows, sum(length(text))::DOUBLE AS content FROM documents
+UNION ALL SELECT 'sentences', count(*), sum(length(sentence))::DOUBLE FROM ds
+UNION ALL SELECT 'vocabulary', count(*), {C.sql_round('sum(idf)', 2)} FROM vocab
+UNION ALL SELECT 'document_copies', count(*), count(DISTINCT text)::DOUBLE FROM documents
+UNION ALL SELECT 'sentence_copies', count(*), count(DISTINCT sentence)::DOUBLE FROM ds
+UNION ALL SELECT 'document_weights', count(*), {C.sql_round('sum(w)', 2)} FROM dw SEMI JOIN du USING (doc_id)
+UNION ALL SELECT 'sentence_weights', count(*), {C.sql_round('sum(w)', 2)} FROM sw SEMI JOIN su ON (sw.doc_id, sw.sent_idx) = su.k""",
     "new_documents": f"WITH {_ALL_DOCS} SELECT doc_id, text FROM arrived",
     "corpus_overlay": """SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)
 UNION ALL SELECT item_id, text FROM benchmark""",
