@@ -187,3 +187,23 @@ def test_thresholds(spark):
     m = spark.createDataFrame([(1, 70.0), (2, 70.01), (3, 40.0), (4, 40.5)], "source bigint, similarity double")
     assert [r["severity"] for r in R.flag_matches(m).orderBy("source").collect()] == ["medium", "high", "none", "medium"]
     assert R.above(m, 0.7).count() == 2
+
+
+def test_sentences_of_hot_terms_only(spark):
+    """Every term is hot: few pairs are scored, and the result equals brute force."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(2, 5)))) for i in range(300)]
+    ix = I.build_index(docs(spark, rows), hot_documents=3, hot_rows=3)
+    q = asked(spark, *[" ".join(rng.choices(words, k=3)) for _ in range(12)])
+    idf = brute.fit([t for _, t in rows] * 2, 2)
+    vectors = [((i, 0), brute.vector(t, idf, 2)) for i, t in rows]
+    found = {}
+    for r in R.sentence_candidates(R.query_sentences(q), ix, 4).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], (r["source"], r["source_idx"]), round(r["score"], 9)))
+    for r in q.collect():
+        v = brute.vector(r["text"], idf, 2)
+        want = brute.best([(key, brute.dot(v, w)) for key, w in vectors], 4)
+        assert sorted(found[r["query_id"]]) == [(n + 1, key, round(x, 9)) for n, (key, x) in enumerate(want)]
