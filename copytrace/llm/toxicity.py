@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copytrace.llm.common import documents, spread, text_of
@@ -145,8 +145,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     known = known.join(docs.select("id").distinct(), "id", "left_semi")
     known = materialize(known, "toxicity-labels")
     of = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LABEL).select("id", "toxic")
+    parts = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(PER_LABEL) for label in (0, 1)]
+    chosen = parts[0].union(parts[1])
     # At most 2 x PER_LABEL ids.
     sample = docs.join(F.broadcast(chosen), "id").select("id", text_of("text").alias("text"), F.col("toxic").cast("int"))
     sample = materialize(sample.dropDuplicates(["id", "text"]), "toxicity-sample")
