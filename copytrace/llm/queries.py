@@ -19,4 +19,5 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op4_mixing": mixing.SQL, "op8_line_dedup": line_dedup.SQL}
+# The others have no SQL form: their tests compare with brute force, the library or held-out labels.
+SQL = {"op2_vector_dedup": vector_dedup.SQL, "op4_mixing": mixing.SQL, "op8_line_dedup": line_dedup.SQL}
