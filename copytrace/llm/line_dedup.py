@@ -21,10 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copytrace.llm.common import SPACES, UPPER, documents, text_of
-from copytrace.session import materialize
+from copytrace.session import fits_broadcast, materialize
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+# Memory of a key in a hash table, and of all keys that are broadcast.
+KEY_BYTES = 96
+MOST_BROADCAST = 32 << 20
 
 
 def line_key(line: Column) -> Column:
@@ -46,12 +49,21 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = materialize(docs.select(F.col(id_col).alias("id"), F.explode(hashes).alias("h")), "lines")
     # Rows are at least as many as documents, so this keeps every key that can count; rows of one id merge below.
     often = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h")
-    hits = materialize(marks.join(often, "h").select("id", "h").distinct(), "line-hits")
+    hits = materialize(marks.join(_small(often, "often"), "h").select("id", "h").distinct(), "line-hits")
     shared = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where(F.col("n") >= min_docs)
-    lost = hits.join(shared, "h").where(~F.col("id").eqNullSafe(F.col("top")))
+    lost = hits.join(_small(shared, "shared"), "h").where(~F.col("id").eqNullSafe(F.col("top")))
     return lost.groupBy("id").agg(F.collect_set("h").alias("drops"))
 
 
+def _small(keys: DataFrame, name: str) -> DataFrame:
+    """``keys`` written, and broadcast if counted to be small, so that lines need not meet by their hash.
+
+    Beyond that the join is a shuffle whose crowded hashes AQE splits; the rows are the same.
+    """
+    keys = materialize(keys, name)
+    return F.broadcast(keys) if fits_broadcast(keys, KEY_BYTES, MOST_BROADCAST) else keys
+
+
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(row, kept, n_lines, n_dropped): each input row as a struct, its remaining text and its counts."""
     drops = line_drops(docs, id_col, text_col, min_chars, min_docs)
