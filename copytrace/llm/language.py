@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copytrace.llm.common import documents, spread, text_of
+from copytrace.session import fits_broadcast, materialize
 
 PER_LANGUAGE = 500
 SLOTS = 1 << 13
@@ -136,8 +137,14 @@ def _sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on a bounded sample of the rows where ``learnable``; None without any."""
     ids = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE).select("id").distinct()
+    # A language's rows below a hash limit that leaves some twice the number wanted; then the first of them.
+    share = ids.groupBy("lang").agg((F.lit(2.0 * PER_LANGUAGE + 100) / F.count(F.lit(1))).alias("share"))
+    share = materialize(share, "languages")
+    share = F.broadcast(share) if fits_broadcast(share, 128, 8 << 20) else share
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    few = ids.join(share, "lang").where(place <= F.col("share") * (1 << 40)).select("id", "lang", place.alias("place"))
+    order = Window.partitionBy("lang").orderBy("place", "id")
+    chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE).select("id").distinct()
     # At most PER_LANGUAGE ids of a language.
     rows = docs.where(learnable & F.col(lang_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == chosen.id, "left_semi")
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
