@@ -4,6 +4,7 @@ import zipfile
 import pytest
 
 from copytrace.operators.index import build_index, index_health, load_index, save_index
+from copytrace.operators.reuse import reuse_report_from_files
 from copytrace.session import new_path
 from copytrace.sources import files, labelled
 from copytrace.streaming import jobs
@@ -44,6 +45,17 @@ def test_folder(spark, tmp_path):
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
 
 
+def test_report_from_files(spark, tmp_path):
+    (tmp_path / "copy.txt").write_text("Owls hunt at night. Plain filler here.")
+    (tmp_path / "other.docx").write_bytes(docx("Bread rises slowly."))
+    (tmp_path / "skip.png").write_bytes(b"x")
+    ix = build_index(spark.createDataFrame([("a.txt", "Owls hunt at night."), ("b.txt", "Bread rises slowly.")], "doc_id string, text string"))
+    rows = {r["query_id"]: r for r in reuse_report_from_files(spark, str(tmp_path), ix, top_k=1).collect()}
+    assert rows.keys() == {"copy.txt", "other.docx"}
+    assert rows["copy.txt"]["matches"][0]["source"] == "a.txt" and rows["other.docx"]["score"] == 100.0
+    assert [m["source"] for m in rows["copy.txt"]["sentence_matches"]] == ["a.txt", None]
+
+
 def test_valid_texts(spark):
     df = spark.createDataFrame([("",), ("a",), ("b" * 50_000,), ("c" * 50_001,), (None,)], "text string")
     assert files.valid_texts(df).count() == 2
