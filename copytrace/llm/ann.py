@@ -12,8 +12,8 @@ neighbours come from one pass over all vectors; the visits are widened until
 
 Equal vectors are one row of the index with its k + 1 smallest ids, all that a
 list of k neighbours can show. Queries of equal vectors are answered once. A
-large leaf is dealt into chunks of about ``CHUNK`` vectors, and queries meet
-every chunk of a visited leaf; each chunk hands on its best k + 1.
+leaf's vectors and its queries are dealt into tiles of about ``CHUNK`` of
+either, one per pair of chunks; each tile hands on its best k + 1.
 
 Scores are dot / (norm x norm) in double precision on the original vectors,
 added up in one fixed order, so equal vectors tie exactly. Ties go to the
@@ -232,12 +232,17 @@ def search(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id
 
     asked = materialize(rows.where(is_query).withColumn("mark", F.xxhash64("v")), "queries")
     distinct = asked.groupBy("v", "mark").agg(F.min("id").alias("qid"))
-    visited = distinct.select("qid", "mark", "v").mapInPandas(visit, "qid long, mark long, v array<double>, leaf array<long>")
+    visited = materialize(distinct.select("qid", "mark", "v").mapInPandas(visit, "qid long, mark long, v array<double>, leaf array<long>"), "visits")
+    # A row per leaf of the bounded tree: chunks of its vectors and parts of its queries.
     chunks = indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
-    chunks = F.broadcast(chunks)  # a row per leaf of the bounded tree
-    dealt = indexed.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("cid", "mark"), "chunks")).drop("chunks")
-    visited = visited.select("qid", "mark", "v", F.explode("leaf").alias("leaf")).join(chunks, "leaf")
-    visited = visited.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
+    parts = visited.select(F.explode("leaf").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("parts"))
+    tiles = F.broadcast(chunks.join(parts, "leaf"))
+    every = {n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)) for n in ("chunks", "parts")}
+    dealt = indexed.join(tiles, "leaf").withColumn("chunk", F.pmod(F.xxhash64("cid", "mark"), "chunks"))
+    dealt = dealt.withColumn("part", every["parts"]).drop("chunks", "parts")
+    visited = visited.select("qid", "mark", "v", F.explode("leaf").alias("leaf")).join(tiles, "leaf")
+    visited = visited.withColumn("part", F.pmod(F.xxhash64("qid", "mark"), "parts"))
+    visited = visited.withColumn("chunk", every["chunks"]).drop("chunks", "parts")
 
     def meet(asking: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -251,7 +256,8 @@ def search(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id
                     out.extend((qid, mark, i, -s) for s, i in found)
         return pd.DataFrame(out, columns=["qid", "mark", "id", "score"])
 
-    found = visited.groupBy("leaf", "chunk").cogroup(dealt.groupBy("leaf", "chunk")).applyInPandas(meet, "qid long, mark long, id long, score double")
+    tile = ["leaf", "chunk", "part"]
+    found = visited.groupBy(*tile).cogroup(dealt.groupBy(*tile)).applyInPandas(meet, "qid long, mark long, id long, score double")
     order = Window.partitionBy("qid", "mark").orderBy(F.desc("score"), "id")
     best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep)
     best = best.groupBy("qid", "mark").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "id"))).alias("near"))

@@ -116,8 +116,10 @@ def search(spark, tmp_path, rows):
     return lists
 
 
-def test_recall(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("chunk", [7, 4096])
+def test_recall(spark, tmp_path, monkeypatch, chunk):
     monkeypatch.setattr(ann, "LEAF", 64)
+    monkeypatch.setattr(ann, "CHUNK", chunk)
     rows = vectors(1500, 16, 4)
     found, want = search(spark, tmp_path, rows), brute_nearest(rows, 16)
     assert found.keys() == want.keys()
