@@ -43,11 +43,3 @@ def text_of(column: str = "text") -> Column:
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
-
-
-def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Null-safe equality of the named columns."""
-    found = F.lit(True)
-    for name in names:
-        found = found & left[name].eqNullSafe(right[name])
-    return found

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from copytrace.llm.common import documents, same, text_of, word_count
+from copytrace.llm.common import documents, text_of, word_count
 from copytrace.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -44,6 +44,11 @@ def _slice(id_text: Column) -> Column:
     return F.substring(F.md5(F.coalesce(id_text, F.lit(""))), 1, 2)
 
 
+def _key(source: Column) -> Column:
+    """A source as a join key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
+
+
 def _offset(source: Column) -> Column:
     """Random offset of a source: 20 bits of a hash, in [0, 1)."""
     digits = F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(source, F.lit("")))), 1, 5)
@@ -94,29 +99,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
+        _key(F.col(source_col).cast("string")).alias("key"),
         word_count(text_of(text_col)).alias("size"),
         *([F.struct("*").alias("row"), F.xxhash64(text_of(text_col)).alias("tie")] if carry else []),
     )
-    small = materialize(rows.select("id", "source", "size"), "sizes")
+    small = materialize(rows.select("id", "source", "key", "size"), "sizes")
     rows = rows if carry else small.withColumn("tie", F.lit(0))
-    place = {"class": _size_class(F.col("size")), "slice": _slice(F.col("id").cast("string"))}
-    cells = small.withColumns(place).groupBy("source", "class", "slice").agg(F.count(F.lit(1)).alias("n"))
+    # Never null as far as the optimizer can see: else it would test them for null below the join, counting the words again.
+    place = {
+        "class": F.coalesce(_size_class(F.col("size")), F.lit(-1)),
+        "slice": F.coalesce(_slice(F.col("id").cast("string")), F.lit("")),
+    }
+    cells = small.withColumns(place).groupBy("key", "class", "slice").agg(F.count(F.lit(1)).alias("n"))
     cells = materialize(cells, "cells")
-    earlier = Window.partitionBy("source", "class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = cells.withColumn("in_class", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    earlier = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
-    classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    starts = slices.join(classes, same(slices, classes, "source", "class")).select(
-        slices.source, slices["class"], "slice", (F.col("before") + F.col("in_class")).alias("start")
-    )
-    targets = source_targets(small)
-    starts = starts.join(targets, same(starts, targets, "source")).select(starts["*"], "source_size", "target")
-    inner = Window.partitionBy("source", "class", "slice").orderBy("size", "id", "tie")
+    earlier = Window.partitionBy("key", "class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = cells.withColumn("in_class", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    earlier = Window.partitionBy("key").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    classes = cells.groupBy("key", "class").agg(F.sum("n").alias("n"))
+    classes = classes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    starts = slices.join(classes, ["key", "class"])
+    starts = starts.select("key", "class", "slice", (F.col("before") + F.col("in_class")).alias("start"))
+    targets = source_targets(small).select(_key(F.col("source")).alias("key"), "source_size", "target")
+    # Written, so that the rows stay dealt by slice for the join and are not gathered by class.
+    starts = materialize(starts.join(targets, "key"), "starts")
+    inner = Window.partitionBy("key", "class", "slice").orderBy("size", "id", "tie")
     ranked = rows.withColumns(place).withColumn("own", F.row_number().over(inner))
-    found = ranked.join(starts, same(ranked, starts, "source", "class", "slice"))
+    found = ranked.join(starts, ["key", "class", "slice"])
     at = F.col("start") + F.col("own")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    crossed = F.floor(rate * at + _offset(ranked.source)) - F.floor(rate * (at - 1) + _offset(ranked.source))
+    crossed = F.floor(rate * at + _offset(F.col("source"))) - F.floor(rate * (at - 1) + _offset(F.col("source")))
     keep = ["id", "size", "source_size", "target", crossed.cast("long").alias("copies")]
     return found.select(*(["row"] if carry else []), *keep)
 
