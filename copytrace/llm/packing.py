@@ -28,7 +28,6 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
-from itertools import chain
 from unicodedata import normalize
 
 import numpy as np
@@ -58,6 +57,10 @@ class WordIds(PieceCache):
     def value(self, ids: list[int]) -> bytes:
         return array("I", ids).tobytes()
 
+    def values(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        raw, at = ids.tobytes(), (4 * bounds).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
     def is_word(self, piece: str) -> bool:
         if piece.isascii():
             return piece.isalpha()
@@ -77,9 +80,8 @@ class WordIds(PieceCache):
         return text.replace("\n", " ").split(" ")
 
     def ids(self, texts: Iterable[str]) -> list[np.ndarray]:
-        split = [self.pieces(t) for t in texts]
-        known = self.lookup(chain.from_iterable(split))
-        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4") for pieces in split]
+        found = self.find([self.pieces(t) for t in texts])
+        return [np.frombuffer(b"".join(values), "<u4") for values in found]
 
     def ending(self) -> np.ndarray:
         """Ids of the tokens that end a sentence."""
@@ -88,13 +90,18 @@ class WordIds(PieceCache):
 
 def places(ids: np.ndarray, doc_ends: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places where a cut may fall, from 0, and their penalties."""
-    penalty = np.full(len(ids) + 1, np.inf)
-    penalty[::GRID] = CUT_SENTENCE
-    penalty[np.flatnonzero(np.isin(ids, ending)) + 1] = CUT_DOCUMENT
-    penalty[doc_ends] = 0.0
-    penalty[0] = 0.0
-    at = np.flatnonzero(np.isfinite(penalty))
-    return at, penalty[at]
+    # Where several kinds of places meet, the lowest penalty counts.
+    groups = (
+        (np.arange(0, len(ids) + 1, GRID), CUT_SENTENCE),
+        (np.flatnonzero(np.isin(ids, ending, kind="table")) + 1, CUT_DOCUMENT),
+        (np.append(doc_ends, 0), 0.0),
+    )
+    at = np.concatenate([g for g, _ in groups])
+    cost = np.concatenate([np.full(len(g), c) for g, c in groups])
+    order = np.lexsort((cost, at))
+    at, cost = at[order], cost[order]
+    first = np.concatenate(([True], at[1:] != at[:-1]))
+    return at[first], cost[first]
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, final: bool, width: int = WIDTH) -> list[int]:

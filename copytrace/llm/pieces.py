@@ -16,9 +16,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 BATCH_BYTES = 1 << 16
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 500_000
 CACHE_PIECE = 64  # longer pieces are encoded anew each time
-CLOSING = ".,;:!?"
+# ASCII punctuation but the apostrophe, which can start a contraction.
+CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _SHARED: dict[tuple[type, str], PieceCache] = {}
 
@@ -63,6 +64,10 @@ class PieceCache:
     def value(self, ids: list[int]):
         raise NotImplementedError
 
+    def values(self, ids: np.ndarray, bounds: np.ndarray) -> list:
+        """``value`` of every piece of ``ids`` between neighbouring bounds."""
+        raise NotImplementedError
+
     def is_word(self, piece: str) -> bool:
         """Whether the tokenizer takes the piece as one word."""
         raise NotImplementedError
@@ -81,36 +86,44 @@ class PieceCache:
 
     def _encode_words(self, words: list[str]) -> None:
         (found,) = self.tokenizer.encode_batch_fast([self.between.join(words)], add_special_tokens=False)
-        ids = found.ids
-        bounds = self.split(np.array(ids)).tolist()
+        ids = np.array(found.ids, "<u4")
+        bounds = self.split(ids)
         if len(bounds) != len(words) + 1:  # a letter that normalises to more than letters
             return self._encode(words)
-        self.known.update((w, self.value(ids[a:b])) for w, a, b in zip(words, bounds, bounds[1:]))
+        self.known.update(zip(words, self.values(ids, bounds)))
 
-    def lookup(self, pieces: Iterable[str]) -> dict:
-        """A mapping that holds all ``pieces``; valid until the next call."""
+    def find(self, texts: list[list[str]]) -> list[list]:
+        """What the pieces of each text encode to."""
         if len(self.known) > CACHE_ENTRIES:
             self.known = {}
         known = self.known
         for piece in self.long:
             known.pop(piece, None)
-        words, others, sums = set(), set(), []
-        for piece in set(pieces).difference(known):
+        found = [list(map(known.get, pieces)) for pieces in texts]
+        gaps = [[i for i, v in enumerate(values) if v is None] for values in found]
+        self._learn({pieces[i] for pieces, at in zip(texts, gaps) for i in at})
+        for pieces, values, at in zip(texts, found, gaps):
+            for i in at:
+                values[i] = known[pieces[i]]
+        return found
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, words, others, sums = self.known, set(), set(), []
+        for piece in pieces:
             if self.is_word(piece):
                 words.add(piece)
             elif (stem := piece.rstrip(CLOSING)) != piece and self.is_word(stem):
-                sums.append((piece, stem, piece[len(stem) :]))
+                tail = piece[len(stem) :]
+                sums.append((piece, stem, tail))
+                if stem not in known:
+                    words.add(stem)
+                if tail not in known:
+                    others.add(tail)
             else:
                 others.add(piece)
-        for _, stem, tail in sums:
-            if stem not in known:
-                words.add(stem)
-            if tail not in known:
-                others.add(tail)
-        self.long = [p for p in (*words, *others, *(p for p, _, _ in sums)) if len(p) > CACHE_PIECE]
+        self.long = [p for group in (words, others, pieces) for p in group if len(p) > CACHE_PIECE]
         for batch in by_bytes(words):
             self._encode_words(batch)
         for batch in by_bytes(others):
             self._encode(batch)
-        known.update((piece, known[stem] + known[tail]) for piece, stem, tail in sums)
-        return known
+        known.update([(piece, known[stem] + known[tail]) for piece, stem, tail in sums])

@@ -15,7 +15,6 @@ their row; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,6 +48,9 @@ class PieceLengths(PieceCache):
     def value(self, ids: list[int]) -> int:
         return len(ids)
 
+    def values(self, ids: np.ndarray, bounds: np.ndarray) -> list[int]:
+        return np.diff(bounds).tolist()
+
     def is_word(self, piece: str) -> bool:
         return piece[:1] == " " and piece[1:].isalpha()
 
@@ -63,8 +65,7 @@ class PieceLengths(PieceCache):
         for text in texts:
             first, *rest = split_safely(text)
             split.append([first, *[" " + p for p in rest]])
-        known = self.lookup(chain.from_iterable(split))
-        return [sum(map(known.__getitem__, pieces)) for pieces in split]
+        return [sum(values) for values in self.find(split)]
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
