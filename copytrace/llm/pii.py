@@ -13,8 +13,9 @@ validation is dropped without a retry:
 - phone: plus sign and 10 to 15 digits with spaces, dots, hyphens, brackets.
 
 Further kinds: login (user name in a URL), secret (value after a cue such as
-"password=", or an access key id), iban (after its cue, mod 97), ssn (after its
-cue). They are added, base spans stay.
+"password=", or an access key id), iban (after its cue, cut at its country's
+length, mod 97), ssn (after its cue). Cues count in any case of A-Z. They are
+added, base spans stay.
 
 Spans are (kind, start, stop) in code points, stop exclusive, by start, then by
 kind in the order above.
@@ -49,6 +50,19 @@ _AUTHORITY_END = frozenset(" \t\n\x0b\x0c\r/?#\"'<>")
 # Cue words and the prefixes of access key ids.
 _SECRET_CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key")
 _KEY_PREFIXES = ("AKIA", "ASIA")
+# ASCII only, so that places stay the same.
+_FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+_LEAD = frozenset(" :#=\"'")
+# Length of an IBAN by country.
+_IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 "
+        "FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 "
+        "LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 "
+        "RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 
 
 def _run(text: str, at: int, of: frozenset) -> int:
@@ -72,12 +86,14 @@ class Finder:
         self.anchors = ahocorasick.Automaton()
         words = {"@": "at", "+": "plus", "://": "scheme", **dict.fromkeys("0123456789", "digit")}
         words |= dict.fromkeys(_KEY_PREFIXES, "key")
+        self.cues = ahocorasick.Automaton()
         for kind, cues in (("secret", _SECRET_CUES), ("iban", ("iban",)), ("ssn", ("ssn", "social security number"))):
             for cue in cues:
-                words |= dict.fromkeys((cue, cue.upper(), cue.capitalize()), kind)
+                self.cues.add_word(cue, kind)
         for word, kind in words.items():
             self.anchors.add_word(word, kind)
         self.anchors.make_automaton()
+        self.cues.make_automaton()
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind number, stop), sorted."""
@@ -95,6 +111,8 @@ class Finder:
                 self._phone(text, end, found)
             else:
                 getattr(self, f"_{anchor}")(text, end + 1, found)
+        for end, cue in self.cues.iter(text.translate(_FOLD)):
+            getattr(self, f"_{cue}")(text, end + 1, found)
         return sorted(found)
 
     def _card(self, text: str, at: int, found: set) -> int:
@@ -156,7 +174,8 @@ class Finder:
             found.add((start, KINDS.index("login"), stop))
 
     def _value(self, text: str, at: int, marks: str) -> int:
-        """Start of the value after a cue: one of ``marks`` between up to two spaces each, perhaps a quote."""
+        """Start of the value after a cue, perhaps quoted: one of ``marks`` between up to two spaces each, perhaps a quote."""
+        at += text[at : at + 1] in ('"', "'")
         for _ in range(2):
             at += text[at : at + 1] == " "
         if text[at : at + 1] not in marks or at >= len(text):
@@ -180,17 +199,22 @@ class Finder:
             found.add((start, KINDS.index("secret"), stop))
 
     def _iban(self, text: str, at: int, found: set) -> None:
-        while text[at : at + 1] in (" ", ":", "#", "="):
+        while text[at : at + 1] in _LEAD:
             at += 1
-        stop, code = at, ""
+        stop, code, known = at, "", (-1, "")
+        length = _IBAN_LENGTHS.get(text[at : at + 2].upper())
         while stop < len(text) and len(code) < 34 and (text[stop] in _ALNUM or text[stop] == " " and text[stop + 1 : stop + 2] in _KEY_ID):
             code += text[stop].strip()
             stop += 1
-        if 15 <= len(code) and code[:2].isalpha() and code[2:4].isdigit() and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
-            found.add((at, KINDS.index("iban"), stop))
+            if len(code) == length and known[0] < 0 and (stop == len(text) or text[stop] not in _ALNUM):
+                known = stop, code
+        for stop, code in (known, (stop, code)):
+            if 15 <= len(code) and code[:2].isalpha() and code[2:4].isdigit() and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+                found.add((at, KINDS.index("iban"), stop))
+                break
 
     def _ssn(self, text: str, at: int, found: set) -> None:
-        while text[at : at + 1] in (" ", ":", "#", "="):
+        while text[at : at + 1] in _LEAD:
             at += 1
         area, group, serial = text[at : at + 3], text[at + 4 : at + 6], text[at + 7 : at + 11]
         shaped = text[at + 3 : at + 4] == text[at + 6 : at + 7] == "-" and len(serial) == 4 and _DIGITS.issuperset(area + group + serial)

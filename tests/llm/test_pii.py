@@ -93,3 +93,18 @@ def test_clean_texts(text):
 def test_empty_table_and_repeated_rows(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
     assert pii.find_pii(docs(spark, [(1, "a@b.cd")] * 3 + [(None, None)])).count() == 4
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("IBAN: DE89 3704 0044 0532 0130 00 Please pay", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("Iban DE89370400440532013000 A1", "iban", "DE89370400440532013000"),
+        ("Social Security Number: 123-45-6789", "ssn", "123-45-6789"),
+        ('{"password": "abc12345"}', "secret", "abc12345"),
+        ('İ PassWord: "abc12345"', "secret", "abc12345"),
+    ],
+)
+def test_ordinary_forms_of_further_kinds(text, kind, value):
+    at = text.index(value)
+    assert (at, pii.KINDS.index(kind), at + len(value)) in pii.finder().spans(text)
