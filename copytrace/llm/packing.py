@@ -14,8 +14,8 @@ best last cut waits for the next block, so memory is bounded by a block and the
 longest document.
 
 Encoding: no token of the word BPE crosses a space, so texts are split there
-and every piece is encoded once while it stays in a bounded cache; unknown
-pieces are encoded in batches of bounded bytes.
+by Arrow, only the distinct pieces of a batch are looked up in a bounded cache
+or encoded, and each text's ids are gathered from them by numpy.
 
 Defined cases: a null or empty text is its end token alone; equal rows and
 rows sharing an id are packed one by one; an empty table gives an empty
@@ -27,17 +27,19 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copytrace.llm.common import documents, spread, text_of
-from copytrace.llm.pieces import PieceCache
+from copytrace.llm.pieces import PieceCache, cut
 
 WIDTH = 2048
 BLOCK = 1 << 18
@@ -72,16 +74,11 @@ class WordIds(PieceCache):
     def split(self, ids: np.ndarray) -> np.ndarray:
         return np.concatenate(([0], np.flatnonzero(self.marked[ids]) + 1))
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The tokenizer ignores the case of letters, but not that of special strings."""
-        if "<|" not in text:
-            text = text.encode().lower().decode()
-        return text.replace("\n", " ").split(" ")
-
-    def ids(self, texts: Iterable[str]) -> list[np.ndarray]:
-        found = self.find([self.pieces(t) for t in texts])
-        return [np.frombuffer(b"".join(values), "<u4") for values in found]
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        pieces = cut(pc.replace_substring(texts, "\n", " "))
+        return pieces.joined(self.find(pieces.entries))
 
     def ending(self) -> np.ndarray:
         """Ids of the tokens that end a sentence."""
@@ -205,20 +202,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
         path = public_tokenizers.path(VOCABULARY)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds.shared(path)
         end = np.array([END_ID], "<u4")
 
         def encoded():
             for batch in batches:
-                given = [None if pd.isna(x) else int(x) for x in batch.id]
-                for doc, ids in zip(given, words.ids(batch.text)):
+                for doc, ids in zip(batch.column("id").to_pylist(), words.ids(batch.column("text"))):
                     yield doc, np.concatenate((ids, end))
 
-        yield from pack_stream(encoded(), words.ending(), TaskContext.get().partitionId() << 36)
+        for rows in pack_stream(encoded(), words.ending(), TaskContext.get().partitionId() << 36):
+            yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
 
     source = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id")
-    return source.select("id", text_of("text").alias("text")).mapInPandas(run, PIECES)
+    return source.select("id", text_of("text").alias("text")).mapInArrow(run, PIECES)
 
 
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:

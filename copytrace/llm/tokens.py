@@ -4,8 +4,9 @@ Counting runs in Arrow-batched functions that return lengths only. Texts are
 split at safe boundaries: before a space that has a character other than white
 space on at least one side. Byte-level BPE attaches such a space to what
 follows it, and no token and no special string reaches across it, so the
-pieces' counts add up to the text's. Pieces seen before come from a bounded
-cache, the others are encoded in batches balanced by bytes.
+pieces' counts add up to the text's. Arrow numbers the distinct pieces of a
+batch; those seen before come from a bounded cache, the others are encoded in
+batches balanced by bytes.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; special strings
 inside a text count as the library's default counts them; equal rows each get
@@ -14,32 +15,21 @@ their row; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from copytrace.llm.common import documents, spread, text_of
-from copytrace.llm.pieces import PieceCache
+from copytrace.llm.pieces import PieceCache, cut_safely
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 
-_UNSAFE = re.compile(r"(?<!\S) (?!\S)")
-_SAFE = re.compile(r"(?<=\S) | (?=\S)")
-
-
-def split_safely(text: str) -> list[str]:
-    """Pieces that, each but the first with a space put before it, make up ``text``.
-
-    Next to a special string white space is grouped otherwise, so a text that may hold one stays whole.
-    """
-    if "<|" in text:
-        return [text]
-    return _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
+SPECIAL = "<|"  # next to a special string white space is grouped otherwise, so a text that may hold one stays whole
 
 
 class PieceLengths(PieceCache):
@@ -60,12 +50,9 @@ class PieceLengths(PieceCache):
     def split(self, ids: np.ndarray) -> np.ndarray:
         return np.concatenate((np.flatnonzero(self.marked[ids]), [len(ids)]))
 
-    def counts(self, texts: list[str]) -> list[int]:
-        split = []
-        for text in texts:
-            first, *rest = split_safely(text)
-            split.append([first, *[" " + p for p in rest]])
-        return [sum(values) for values in self.find(split)]
+    def counts(self, texts: pa.Array | list[str]) -> np.ndarray:
+        pieces = cut_safely(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), SPECIAL)
+        return pieces.totals(self.find(pieces.entries))
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -75,13 +62,16 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         path = public_tokenizers.path(VOCABULARY)
 
-    @F.pandas_udf(LongType())
-    def lengths(texts: pd.Series) -> pd.Series:
-        return pd.Series(PieceLengths.shared(path).counts(texts.tolist()), dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = PieceLengths.shared(path).counts(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(counts)], ["id", "n_bytes", "n_tokens"])
 
     source = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
     text = text_of("text")
-    return source.select("id", F.octet_length(text).cast("long").alias("n_bytes"), lengths(text).alias("n_tokens"))
+    source = source.select("id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    schema = StructType([*source.schema.fields[:2], StructField("n_tokens", LongType())])
+    return source.mapInArrow(run, schema)
 
 
 def op6_tokens(spark: SparkSession, folder: str) -> DataFrame:
