@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from copytrace.llm import ann, language, line_dedup, mixing, packing, pii, simhash, tokens, toxicity, vector_dedup
+from copytrace.llm import ann, byte_bpe, language, line_dedup, mixing, packing, pii, simhash, tokens, toxicity, vector_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_language": language.op10_language,
+    "op11_byte_bpe": byte_bpe.op11_byte_bpe,
     "pipeline": corpus_pipeline.run,
 }
 
