@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from copytrace.llm.common import documents, prepare, spread, text_of
+from copytrace.llm.common import documents, prepare, rank_by, spread, text_of
 from copytrace.llm.interning import ngrams, words
 from copytrace.session import materialize
 from copytrace.sources.tables import read_table
@@ -102,19 +102,6 @@ def weigh(docs: DataFrame, gains: np.ndarray, id_col: str = "doc_id", text_col:
     return source.mapInArrow(run, schema)
 
 
-def rank_by(df: DataFrame, *order: Column, name: str = "ranked") -> DataFrame:
-    """``df`` with ``rank``: 1, 2, 3... in this order, however many rows are equal in it."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("at"))
-    placed = materialize(placed, name)
-    # The number of a row: the partition in the upper bits, the place in the lower 33.
-    part = F.shiftright("at", 33)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    ranked = placed.join(F.broadcast(starts), part == F.col("part"))
-    return ranked.select(*df.columns, (F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).alias("rank"))
-
-
 def resample(
     docs: DataFrame,
     target: DataFrame,

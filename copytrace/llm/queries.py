@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from copytrace.llm import ann, byte_bpe, importance, language, line_dedup, mixing, packing, pii, simhash, tokens, toxicity, vector_dedup
+from copytrace.llm import ann, byte_bpe, importance, language, line_dedup, mixing, packing, pii, prefix_trie, simhash, tokens, toxicity, vector_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_language": language.op10_language,
     "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_importance": importance.op13_importance,
     "pipeline": corpus_pipeline.run,
 }
@@ -26,5 +27,6 @@ SQL = {
     "op2_vector_dedup": vector_dedup.SQL,
     "op4_mixing": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
     "op13_importance": importance.SQL,
 }
