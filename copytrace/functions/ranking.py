@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from copytrace.session import materialize
+
 
 def bucket_offsets(counts: DataFrame, by: Sequence[str], amount: str, out: str) -> DataFrame:
     """Sum of ``amount`` over all lower buckets of the same ``by`` group.
@@ -45,3 +47,15 @@ def shuffled_rank(df: DataFrame, keys: Sequence[str], seed: int, by: Sequence[st
         .join(offsets.alias("b"), cond, "inner")
         .select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_in") + F.col("_before")).cast("long").alias(out))
     )
+
+
+def numbered(df: DataFrame, out: str, name: str) -> DataFrame:
+    """``df`` written, with consecutive numbers from 0 in ``out``: a row's place in its partition after all earlier partitions."""
+    placed = materialize(df.withColumn(out, F.monotonically_increasing_id()), name)
+    # The upper bits tell the partition, the lower 33 the place in it.
+    part = F.shiftright(out, 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    found = placed.join(F.broadcast(starts), part == F.col("_part"))
+    return found.select(*df.columns, (F.col("_start") + F.col(out).bitwiseAND((1 << 33) - 1)).alias(out))

@@ -1,4 +1,10 @@
-"""Training and held-out evaluation of the text classifier."""
+"""Training and held-out evaluation of the text classifier.
+
+``fit_classifier`` keeps the model in a table of terms and is what the report,
+the saved model and the queries use. ``train_classifier`` builds a Spark ML
+pipeline of the same features and loss for callers that want one; its
+vocabulary and weights lie on the driver, so it is for vocabularies that fit.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +18,13 @@ from pyspark.sql import functions as F
 
 from copytrace.functions import text as T
 from copytrace.operators.evaluate import binary_metrics, confusion_matrix, roc_auc
+from copytrace.operators.linear import TermModel, fit_terms, load_terms
 from copytrace.operators.split import stratified_split
 from copytrace.session import materialize
 from copytrace.sources.tables import spread
 
-# Labelled rows read for a fit at most. The vocabulary and the weights, which live on
-# the driver, are bounded through it; features are exact terms at every size.
+# Labelled rows read for a fit at most: the vectors on the driver have one number a row.
+# Features are exact terms at every size.
 MAX_ROWS = 1_000_000
 
 
@@ -92,9 +99,21 @@ def train_classifier(labelled: DataFrame, max_df: float = 0.95, c: float = 1.0,
     return PipelineModel(stages=[*features.stages, model])
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def fit_classifier(labelled: DataFrame, max_df: float = 0.95, c: float = 1.0, max_iter: int = 1000, max_rows: int = MAX_ROWS) -> TermModel:
+    """Balanced L2 logistic regression on TF-IDF; ``labelled(row_id, text, label)``, class 1 is ``ai``.
+
+    At most about ``max_rows`` labelled rows are read.
+    """
+    target = (F.col("label") == "ai").cast("double")
+    rows = balanced_weights(bounded_rows(labelled, max_rows)).withColumn("target", target)
+    return fit_terms(spread(rows, "row_id"), max_df, c, max_iter)
+
+
+def predict(model: TermModel | PipelineModel, df: DataFrame) -> DataFrame:
     """``df`` plus ai_probability and predicted."""
-    p = model.transform(df).withColumn("ai_probability", vector_to_array("probability")[1])
+    p = model.transform(df)
+    if isinstance(model, PipelineModel):
+        p = p.withColumn("ai_probability", vector_to_array("probability")[1])
     predicted = F.when(F.col("ai_probability") >= 0.5, "ai").otherwise("human")
     return p.select(*df.columns, "ai_probability", predicted.alias("predicted"))
 
@@ -103,7 +122,7 @@ def evaluate_classifier(labelled: DataFrame, dataset: str, test_size: float = 0.
     """One-row held-out report: sizes, metrics, labels, confusion matrix."""
     split = materialize(stratified_split(labelled, ["row_id"], "label", test_size, seed), "split")
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
-    scored = materialize(predict(train_classifier(train.drop("split")), test), "scored")
+    scored = materialize(predict(fit_classifier(train.drop("split")), test), "scored")
     sizes = split.agg(
         F.count_if(F.col("split") == "train").alias("train_size"), F.count_if(F.col("split") == "test").alias("test_size")
     )
@@ -117,16 +136,13 @@ def evaluate_classifier(labelled: DataFrame, dataset: str, test_size: float = 0.
     return report.withColumn("labels", F.array(*[F.lit(c) for c in classes])).drop("one")
 
 
-def ship_classifier(labelled: DataFrame, path: str) -> PipelineModel:
+def ship_classifier(labelled: DataFrame, path: str) -> TermModel:
     """Refit on all rows and save."""
-    model = train_classifier(labelled)
-    model.write().overwrite().save(path)
+    model = fit_classifier(labelled)
+    model.save(path)
     return model
 
 
-def load_classifier(spark: SparkSession, path: str) -> PipelineModel | None:
+def load_classifier(spark: SparkSession, path: str) -> TermModel | None:
     """Saved model, or None when there is none."""
-    meta = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
-    if not meta.getFileSystem(spark._jsc.hadoopConfiguration()).exists(meta):
-        return None
-    return PipelineModel.load(path)
+    return load_terms(spark, path)
