@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copytrace.functions import text as T
+from copytrace.functions.numeric import rank_score, sigmoid
+from copytrace.functions.ranking import numbered
 from copytrace.operators.evaluate import binary_metrics, confusion_matrix, roc_auc
 from copytrace.operators.linear import TermModel, fit_terms, load_terms
 from copytrace.operators.split import stratified_split
+from copytrace.operators.vectorize import attach_vocabulary, postings
 from copytrace.session import materialize
 from copytrace.sources.tables import spread
 
@@ -109,6 +112,21 @@ def fit_classifier(labelled: DataFrame, max_df: float = 0.95, c: float = 1.0, ma
     return fit_terms(spread(rows, "row_id"), max_df, c, max_iter)
 
 
+def largest_slope(model: TermModel, labelled: DataFrame, c: float = 1.0) -> float:
+    """Largest derivative, by a weight or the intercept, of the loss that ``fit_classifier`` minimises: 0 at the optimum."""
+    target = (F.col("label") == "ai").cast("double")
+    rows = numbered(balanced_weights(labelled).select("text", "weight", target.alias("target")), "id", "slope-rows")
+    post = attach_vocabulary(postings(rows, ["id"], "text", 2), model.terms.withColumnRenamed("weight", "slope_weight"), ["id"], ["idf", "slope_weight"])
+    x = F.col("tf") * F.col("idf")
+    sums = post.groupBy("id").agg(F.sum(x * F.col("slope_weight")).alias("dot"), F.sqrt(F.sum(x * x)).alias("norm"))
+    p = sigmoid(F.coalesce(F.col("dot") / F.col("norm"), F.lit(0.0)) + F.lit(model.intercept))
+    residual = (F.col("weight") * (p - F.col("target"))).alias("residual")
+    rows = materialize(rows.join(sums, "id", "left").select("id", "norm", residual), "slope-residuals")
+    by_term = post.join(rows, "id").groupBy("term", "slope_weight").agg(F.sum(x / F.col("norm") * F.col("residual")).alias("sum"))
+    steepest = by_term.agg(F.max(F.abs(F.col("sum") + F.col("slope_weight") / c))).first()[0]
+    return max(steepest or 0.0, abs(rows.agg(F.sum("residual")).first()[0] or 0.0))
+
+
 def predict(model: TermModel | PipelineModel, df: DataFrame) -> DataFrame:
     """``df`` plus ai_probability and predicted."""
     p = model.transform(df)
@@ -129,7 +147,7 @@ def evaluate_classifier(labelled: DataFrame, dataset: str, test_size: float = 0.
     classes = ["ai", "human"]
     cm = confusion_matrix(scored, classes).select("label", F.array(*[f"pred_{c}" for c in classes]).alias("r"))
     matrix = cm.agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "r"))), lambda x: x["r"]).alias("confusion_matrix"))
-    parts = [sizes, binary_metrics(scored).drop("n"), roc_auc(scored, "ai_probability"), matrix]
+    parts = [sizes, binary_metrics(scored).drop("n"), roc_auc(scored.withColumn("score", rank_score(F.col("ai_probability"))), "score"), matrix]
     report = sizes.sparkSession.range(1).select(F.lit(1).alias("one"), F.lit(dataset).alias("dataset"))
     for part in parts:  # one row each
         report = report.join(part.withColumn("one", F.lit(1)), "one")
