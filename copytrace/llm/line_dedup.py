@@ -1,8 +1,8 @@
 """Line deduplication: drop lines that many documents share, keep them in one document.
 
-Lines are exploded as hashes of their normalised form, documents are counted
-per hash, and each document is reassembled from its remaining lines by
-position. All steps are built-in functions.
+Lines are exploded as positions and hashes of their normalised form, documents
+are counted per hash, and each document is reassembled from its remaining lines
+by position. All steps are built-in functions and linear in a text's lines.
 
 A line's key is the line without white space (\\x20, \\x09-\\x0D) at both ends,
 A-Z lower-cased. A key of at least ``min_chars`` code points found in at least
@@ -11,7 +11,8 @@ largest id that holds it. Keys are compared as 128-bit hashes.
 
 Defined cases: a null or empty text is one empty line; rows that share an id
 count as one document and lose the same lines; null ids count together as one
-document, the smallest; an empty table gives an empty result; other columns
+document, the smallest. Rows meet the positions they lose by id and hash of the
+text, so rows of one id or of none lie apart. An empty table gives an empty result; other columns
 are carried along untouched, whatever their names.
 """
 
@@ -42,17 +43,27 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _row_key(text: Column) -> Column:
+    """What tells rows of one id apart; equal texts under one id lose the same lines."""
+    return _hash(text)
+
+
 def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(id, drops): per document the hashes of the lines it loses; documents that keep all lines are left out."""
-    keys = F.filter(F.transform(_lines(text_of(text_col)), line_key), lambda k: F.length(k) >= min_chars)
-    hashes = F.array_distinct(F.transform(keys, _hash))
-    marks = materialize(docs.select(F.col(id_col).alias("id"), F.explode(hashes).alias("h")), "lines")
-    # Rows are at least as many as documents, so this keeps every key that can count; rows of one id merge below.
-    often = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h")
-    hits = materialize(marks.join(_small(often, "often"), "h").select("id", "h").distinct(), "line-hits")
-    shared = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where(F.col("n") >= min_docs)
+    """(id, t, drops): the positions of the lines that the rows of an id and a text's hash lose; rows that keep all are left out."""
+    text = text_of(text_col)
+    keys = F.transform(_lines(text), lambda line, i: F.struct(i.alias("pos"), line_key(line).alias("key")))
+    keys = F.filter(keys, lambda x: F.length(x["key"]) >= min_chars)
+    marks = F.transform(keys, lambda x: F.struct(x["pos"].alias("pos"), _hash(x["key"]).alias("h")))
+    # The text is hashed once, below the generator; an outer one keeps its array from being tested a second time.
+    rows = docs.select(F.col(id_col).alias("id"), _row_key(text).alias("t"), marks.alias("marks"))
+    rows = materialize(rows.select("id", "t", F.inline_outer("marks")).where("pos IS NOT NULL"), "lines")
+    # Lines are at least as many as documents, so this keeps every key that can count; rows of one id merge below.
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h")
+    hits = materialize(rows.join(_small(often, "often"), "h").select("id", "t", "pos", "h"), "line-hits")
+    holders = hits.select("id", "h").distinct()
+    shared = holders.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where(F.col("n") >= min_docs)
     lost = hits.join(_small(shared, "shared"), "h").where(~F.col("id").eqNullSafe(F.col("top")))
-    return lost.groupBy("id").agg(F.collect_set("h").alias("drops"))
+    return lost.groupBy("id", "t").agg(F.collect_set("pos").alias("drops"))
 
 
 def _small(keys: DataFrame, name: str) -> DataFrame:
@@ -67,18 +78,18 @@ def _small(keys: DataFrame, name: str) -> DataFrame:
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(row, kept, n_lines, n_dropped): each input row as a struct, its remaining text and its counts."""
     drops = line_drops(docs, id_col, text_col, min_chars, min_docs)
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), _row_key(text_of(text_col)).alias("key"))
     # Lines are split after the join: a text moves once.
-    joined = rows.join(drops, rows.own.eqNullSafe(drops.id), "left")
-    joined = joined.select("row", "drops", _lines(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))).alias("lines"))
-    kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda x: ~F.array_contains(F.col("drops"), _hash(line_key(x))))
-    )
-    return joined.select("row", "lines", kept.alias("stay")).select(
+    joined = rows.join(drops, rows.own.eqNullSafe(drops.id) & (rows.key == drops.t), "left")
+    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    joined = joined.select("row", "drops", text.alias("text"), _lines(text).alias("lines"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drops")
+    kept = F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n")
+    return joined.select(
         "row",
-        F.array_join("stay", "\n").alias("kept"),
+        F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept).alias("kept"),
         F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size("stay")).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

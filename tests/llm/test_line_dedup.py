@@ -67,3 +67,26 @@ def test_empty_table_and_clashing_columns(spark):
     table = docs(spark, CASES["shared"]).selectExpr("doc_id", "text", "1 AS h", "2 AS drops", "3 AS `row`", "4 AS id", "5 AS lines")
     found = line_dedup.drop_lines(table)
     assert found.selectExpr("row.*").columns == table.columns and found.where("n_dropped = 1").count() == 6
+
+
+def test_many_lines_in_one_document(spark):
+    """Two hundred thousand lines take seconds: nothing compares a line with all others of its document."""
+    import time
+
+    shared = [f"a line of forty characters or more that is number {i}" for i in range(200_000)]
+    rows = [(i, "\n".join(["short", *shared, f"{i}", shared[0]])) for i in range(5)]
+    start = time.perf_counter()
+    found = line_dedup.drop_lines(docs(spark, rows)).select("row.doc_id", "n_lines", "n_dropped", "kept").collect()
+    assert time.perf_counter() - start < 60
+    want = {i: ("\n".join(["short", f"{i}"]) if i < 4 else rows[4][1]) for i in range(5)}
+    assert {r["doc_id"]: r["kept"] for r in found} == want
+    assert {r["n_dropped"] for r in found if r["doc_id"] < 4} == {200_001} and {r["n_lines"] for r in found} == {200_003}
+
+
+def test_null_and_repeated_ids_lie_apart(spark):
+    line = "x" * 50
+    rows = [(None, f"{line}\n{i}") for i in range(300)] + [(7, f"{line}\nseven {i}") for i in range(300)] + [(i, line) for i in (1, 2, 3)]
+    found = line_dedup.drop_lines(docs(spark, rows)).select("row.doc_id", "kept", "n_dropped").collect()
+    kept = sorted((r["doc_id"] is None, r["kept"]) for r in found)
+    want = [(True, str(i)) for i in range(300)] + [(False, f"{line}\nseven {i}") for i in range(300)] + [(False, "")] * 3
+    assert kept == sorted(want)
