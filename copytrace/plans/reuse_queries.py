@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copytrace.functions.numeric import percent, round_even
 from copytrace.operators import index as I
-from copytrace.operators import lsa, reuse, semantic, similarity, vectors
+from copytrace.operators import lsa, pivots, reuse, semantic, similarity, vectors
 from copytrace.operators.rerank import rerank_lexical, rerank_model
 from copytrace.plans import common as C
 from copytrace.session import materialize, new_path
@@ -207,6 +207,14 @@ def knn_topk(spark, folder):
     return found.select("query_id", "rank", "vec_id", round_even(F.col("score"), 6).alias("score"))
 
 
+def knn_pivots(spark, folder):
+    """The same neighbours by cells and bounds."""
+    store = read_table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    found, _ = pivots.pivot_search(store.withColumnRenamed("vec_id", "query_id"), store, NEIGHBOURS)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return found.select("query_id", rank.alias("rank"), "vec_id", round_even(F.col("score"), 6).alias("score"))
+
+
 def knn_topk_padded(spark, folder):
     """Neighbours above 0.5 only, padded to a fixed number of places."""
     asked, found = _knn(spark, folder, PADDED)
@@ -288,6 +296,7 @@ QUERIES = {
     "index_health": index_health,
     "index_roundtrip": index_roundtrip,
     "knn_topk": knn_topk,
+    "knn_pivots": knn_pivots,
     "knn_topk_padded": knn_topk_padded,
     "knn_lsh": knn_lsh,
     "lsa_components": lsa_components,
@@ -427,6 +436,7 @@ SELECT doc_id, {C.sql_round('1.0::DOUBLE - count(vocab.term) / count(*)::DOUBLE'
 SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM ds) AS sentences, 'heuristic' AS detector""",
     "index_roundtrip": _RANKING,
     "knn_topk": f"{_KNN} SELECT query_id, rank, vec_id, {C.sql_round('score', 6)} AS score FROM r WHERE rank <= {NEIGHBOURS}",
+    "knn_pivots": f"{_KNN} SELECT query_id, rank, vec_id, {C.sql_round('score', 6)} AS score FROM r WHERE rank <= {NEIGHBOURS}",
     "knn_topk_padded": f"""{_KNN}
 SELECT query_id, rank, CASE WHEN score > 0.5::DOUBLE THEN vec_id ELSE -1 END AS vec_id,
        CASE WHEN score > 0.5::DOUBLE THEN {C.sql_round('score', 6)} ELSE 0.0::DOUBLE END AS score
