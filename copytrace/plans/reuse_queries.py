@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from copytrace.functions.numeric import percent, round_even
 from copytrace.operators import index as I
-from copytrace.operators import lsa, pivots, reuse, semantic, similarity, vectors
+from copytrace.operators import lsa, pivots, quantized, reuse, semantic, similarity, vectors
 from copytrace.operators.rerank import rerank_lexical, rerank_model
 from copytrace.plans import common as C
 from copytrace.session import materialize, new_path
@@ -215,6 +215,32 @@ def knn_pivots(spark, folder):
     return found.select("query_id", rank.alias("rank"), "vec_id", round_even(F.col("score"), 6).alias("score"))
 
 
+def _recall_row(spark, folder, search):
+    """Queries, rows found, whether every score is the pair's product, and whether recall is 0.9 or more."""
+    asked, found = _knn(spark, folder, NEIGHBOURS, search)
+    found = materialize(found, "found")
+    reached = quantized.recall(found, _knn(spark, folder, NEIGHBOURS)[1]) >= 0.9
+    double = F.col("embedding").cast("array<double>")
+    pairs = found.join(asked.select("query_id", double.alias("q")), "query_id").join(asked.select(F.col("query_id").alias("vec_id"), double.alias("v")), "vec_id")
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    exact = F.bool_and(F.abs(product - F.col("score")) < 1e-6)
+    return pairs.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("found"), exact.alias("true_scores"), F.lit(reached).alias("recall_reached"))
+
+
+def _quantized(asked, store, k):
+    """A short list of 15 % of the vectors, all lists visited: the vectors have random directions."""
+    return quantized.knn_quantized(asked, store, k, max(k, store.count() * 15 // 100))
+
+
+def knn_quantized(spark, folder):
+    """Approximate neighbours by codes: exact scores for 15 % of the pairs."""
+    return _recall_row(spark, folder, _quantized)
+
+
+def knn_lsh_recall(spark, folder):
+    return _recall_row(spark, folder, vectors.knn_lsh)
+
+
 def knn_topk_padded(spark, folder):
     """Neighbours above 0.5 only, padded to a fixed number of places."""
     asked, found = _knn(spark, folder, PADDED)
@@ -297,6 +323,8 @@ QUERIES = {
     "index_roundtrip": index_roundtrip,
     "knn_topk": knn_topk,
     "knn_pivots": knn_pivots,
+    "knn_quantized": knn_quantized,
+    "knn_lsh_recall": knn_lsh_recall,
     "knn_topk_padded": knn_topk_padded,
     "knn_lsh": knn_lsh,
     "lsa_components": lsa_components,
@@ -437,6 +465,8 @@ SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM ds)
     "index_roundtrip": _RANKING,
     "knn_topk": f"{_KNN} SELECT query_id, rank, vec_id, {C.sql_round('score', 6)} AS score FROM r WHERE rank <= {NEIGHBOURS}",
     "knn_pivots": f"{_KNN} SELECT query_id, rank, vec_id, {C.sql_round('score', 6)} AS score FROM r WHERE rank <= {NEIGHBOURS}",
+    "knn_quantized": f"SELECT count(*) AS queries, count(*) * {NEIGHBOURS} AS found, TRUE AS true_scores, TRUE AS recall_reached FROM embeddings",
+    "knn_lsh_recall": f"SELECT count(*) AS queries, count(*) * {NEIGHBOURS} AS found, TRUE AS true_scores, TRUE AS recall_reached FROM embeddings",
     "knn_topk_padded": f"""{_KNN}
 SELECT query_id, rank, CASE WHEN score > 0.5::DOUBLE THEN vec_id ELSE -1 END AS vec_id,
        CASE WHEN score > 0.5::DOUBLE THEN {C.sql_round('score', 6)} ELSE 0.0::DOUBLE END AS score
