@@ -8,10 +8,10 @@ Defined cases, besides those of the operators: language ID rejects a document
 whose text is null or has no letter, or whose language is ambiguous; line
 dedup replaces the text by its remaining lines and n_chars, where it is there,
 by their length, and a document that loses all lines stays as an empty text;
-near-dedup links texts whose sets of 5-word shingles have a Jaccard similarity
-of 0.8 or more and keeps one row of each group: the smallest id, of several
+near-dedup links texts whose SimHash fingerprints (4-word shingles) differ in
+at most 4 bits and keeps one row of each group: the smallest id, of several
 rows under it the smallest hash of the text; documents without an id each stay
-and only connect others; mixing repeats a row as often as it is taken. An empty table runs through.
+and link nothing; mixing repeats a row as often as it is taken. An empty table runs through.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copytrace.llm import language, line_dedup, mixing, near, packing
+from copytrace.llm import language, line_dedup, mixing, packing, simhash
 from copytrace.llm.common import documents, prepare, text_of
 from copytrace.session import materialize
 
@@ -41,13 +41,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies: 5-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies by SimHash."""
     prepare(spark)
-    found = near.near_components(docs).where(F.col("id").isNotNull())
+    # Rows of one id are told apart by their text; a group's key is its smallest (id, hash).
+    key = F.struct("doc_id", F.xxhash64(text_of()).alias("mark"))
+    found = simhash.simhash_components(docs.where("doc_id IS NOT NULL").select(key.alias("key"), "text"), "key")
+    first = found.where(F.col("id") == F.col("component")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    first = materialize(first.select("id.*", "n").withColumnRenamed("doc_id", "first"), "near-first")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own"), F.xxhash64(text_of()).alias("own_mark"))
-    repeats = found.groupBy("root", "id", "mark").agg(F.count(F.lit(1)).alias("n"))
-    first = repeats.groupBy("root").agg(F.min(F.struct("id", "mark", "n")).alias("first")).select("first.*")
-    stay = rows.join(materialize(first, "near-first"), (F.col("own") == F.col("id")) & (F.col("own_mark") == F.col("mark")))
+    stay = rows.join(first, (F.col("own") == F.col("first")) & (F.col("own_mark") == F.col("mark")))
     single = stay.where("n = 1").select("row.*")
     several = stay.where("n > 1").groupBy("own", "own_mark").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
     return single.union(several).union(docs.where(F.col("doc_id").isNull()))
