@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BATCH_BYTES = 1 << 16
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 CACHE_PIECE = 64  # longer pieces are encoded anew each time
 # ASCII punctuation but the apostrophe, which can start a contraction.
 CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
