@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copytrace.llm.common import documents, spread, text_of
-from copytrace.llm.pieces import PieceCache, cut
+from copytrace.llm.pieces import PieceCache, by_size, cut
 
 WIDTH = 2048
 BLOCK = 1 << 18
@@ -208,8 +208,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
         def encoded():
             for batch in batches:
-                for doc, ids in zip(batch.column("id").to_pylist(), words.ids(batch.column("text"))):
-                    yield doc, np.concatenate((ids, end))
+                for part in by_size(batch, "text"):
+                    for doc, ids in zip(part.column("id").to_pylist(), words.ids(part.column("text"))):
+                        yield doc, np.concatenate((ids, end))
 
         for rows in pack_stream(encoded(), words.ending(), TaskContext.get().partitionId() << 36):
             yield pa.RecordBatch.from_pandas(rows, preserve_index=False)

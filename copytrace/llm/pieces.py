@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BATCH_BYTES = 1 << 16
+SLICE_BYTES = 4 << 20
 CACHE_ENTRIES = 300_000
 CACHE_PIECE = 64  # longer pieces are encoded anew each time
 # ASCII punctuation but the apostrophe, which can start a contraction.
@@ -107,6 +108,17 @@ def cut_safely(texts: pa.Array, whole: str | None = None) -> Pieces:
     return Pieces(entries, np.concatenate(parts), np.concatenate(([0], np.cumsum(counts))))
 
 
+def by_size(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``most`` bytes of text, at least one row each; bounds what is held at once."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(ends):
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def by_bytes(pieces: Iterable[str]) -> Iterator[list[str]]:
     batch, size = [], 0
     for piece in pieces:

@@ -29,3 +29,16 @@ def test_small_cache_and_repeated_rows(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert tokens.count_tokens(docs(spark, [])).count() == 0
+
+
+def test_slices_by_size_hold_every_row():
+    import pyarrow as pa
+
+    from copytrace.llm import pieces
+
+    texts = ["a" * 10, "", "b" * 50, "c" * 3, "", "d" * 30, "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(7))], ["text", "id"])
+    parts = list(pieces.by_size(batch, "text", 30))
+    assert [i for p in parts for i in p.column("id").to_pylist()] == list(range(7)) and len(parts) > 2
+    whole = [x for p in parts for x in pieces.cut(p.column("text")).entries]
+    assert set(whole) == set(texts) and not list(pieces.by_size(batch.slice(0, 0), "text"))
