@@ -11,10 +11,18 @@
 
 ``batch`` is 0 for the first build and grows with every append, so documents
 added later come later in corpus order.
+
+Saved, each table has one folder per batch of writing. An append asks the Bloom
+filters of the stored batches which of its ids and text hashes may be there, and
+looks up only those. ``compact_saved`` merges the folders into one, sorted by
+what the table is searched by; ``remove_superseded`` deletes what no reader can
+be reading any more. Saves, appends and these two come from one writer at a
+time; any number may read meanwhile.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -22,6 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from copytrace.operators.arrivals import StoredKeys, blocks_for, build_filter
 from copytrace.operators.vectorize import (
     attach_vocabulary,
     normalized_weights,
@@ -49,6 +58,8 @@ class Index:
     sentence_copies: DataFrame
     document_weights: DataFrame
     sentence_weights: DataFrame
+    # Of a saved index: what is stored, by kind of key; None where no filters were saved.
+    stored: Mapping[str, StoredKeys] | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -144,7 +155,13 @@ def build_index(corpus: DataFrame, hot_documents: int = HOT_DOCUMENTS, hot_rows:
 
 def new_documents(index: Index, corpus: DataFrame) -> DataFrame:
     """Rows of ``corpus`` whose doc_id is not indexed yet (changed text under a known id stays out)."""
-    return corpus.join(index.documents.select("doc_id"), "doc_id", "left_anti")
+    known = _stored_rows(index, "documents", corpus)
+    return corpus if known is None else corpus.join(known.select("doc_id"), "doc_id", "left_anti")
+
+
+def _stored_rows(index: Index, table: str, keys: DataFrame) -> DataFrame | None:
+    """Rows of an index table that matter to ``keys``: those its filters let through, or all; None if there are none."""
+    return getattr(index, table) if index.stored is None else index.stored[table].known(keys)
 
 
 def overlay(corpus: DataFrame, extra: DataFrame) -> DataFrame:
@@ -159,8 +176,10 @@ def _append(index: Index, arrived: DataFrame, batch: int) -> dict[str, DataFrame
     documents = materialize(fresh.select(F.lit(batch).alias("batch"), "doc_id", "text"), "documents")
     sentences = materialize(with_sentences(documents, ["batch", "doc_id"]), "sentences")
     # A text that is indexed already keeps its vector and only gains a copy.
-    doc_copies = materialize(copies_of(documents, document_key(), "text", index.document_copies), "doccopies")
-    sent_copies = materialize(copies_of(sentences, sentence_key(), "sentence", index.sentence_copies), "sentcopies")
+    known_docs = _stored_rows(index, "document_copies", documents.select(F.md5("text").alias("h")))
+    known_sents = _stored_rows(index, "sentence_copies", sentences.select(F.md5("sentence").alias("h")))
+    doc_copies = materialize(copies_of(documents, document_key(), "text", known_docs), "doccopies")
+    sent_copies = materialize(copies_of(sentences, sentence_key(), "sentence", known_sents), "sentcopies")
     docs = first_texts(documents, document_key(), "text", doc_copies)
     sents = first_texts(sentences, sentence_key(), "sentence", sent_copies)
     return {
@@ -190,45 +209,86 @@ def out_of_vocabulary(index: Index, corpus: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg((F.lit(1.0) - known / F.count(F.lit(1))).alias("oov_ratio"))
 
 
-MANIFEST = "version long, folder string, last_batch long"
+MANIFEST = (
+    "version long, folder string, last_batch long, published double, "
+    "filters array<struct<name: string, batch: int, blocks: long>>"
+)
+# Key of the tables that appends look things up in, and what a compacted table is sorted by.
+KEYS = {"documents": "doc_id", "document_copies": "h", "sentence_copies": "h"}
+CLUSTERED = {
+    "documents": ("batch", "doc_id"),
+    "sentences": ("batch", "doc_id", "sent_idx"),
+    "vocabulary": ("term",),
+    "document_copies": ("h", "member"),
+    "sentence_copies": ("h", "member"),
+    "document_weights": ("term", "bid"),
+    "sentence_weights": ("term", "bid"),
+}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    # A row that is removed while the folder is being read is not the newest one.
+    return spark.read.schema(MANIFEST).option("ignoreMissingFiles", "true").parquet(f"{path}/manifest")
 
 
 def _state(spark: SparkSession, path: str):
     """Newest manifest row of a saved index, None when there is none."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not _exists(spark, f"{path}/manifest"):
         return None
-    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+    return _manifest(spark, path).orderBy(F.desc("version")).first()
 
 
-def _publish(spark: SparkSession, path: str, version: int, folder: str, last_batch: int) -> None:
+def _publish(spark: SparkSession, path: str, version: int, folder: str, last_batch: int, filters: list | None) -> None:
     """Make ``folder`` up to ``last_batch`` the index that readers see; one small file, added at once."""
-    row = spark.createDataFrame([(version, folder, last_batch)], MANIFEST).coalesce(1)
+    row = spark.createDataFrame([(version, folder, last_batch, time.time(), filters)], MANIFEST).coalesce(1)
     row.write.mode("append").parquet(f"{path}/manifest")
 
 
+def _write_batch(spark: SparkSession, folder: str, tables: Mapping[str, DataFrame], batch: int) -> list:
+    """One folder per table below ``folder``, with the filters of its keys; (name, batch, blocks) of these."""
+    filters = []
+    for name, df in tables.items():
+        if name == "vocabulary":
+            df.write.parquet(f"{folder}/{name}")
+            continue
+        # The folder's number is the batch of writing; a document keeps the batch in which it was added.
+        target = f"{folder}/{name}/batch={batch}"
+        df.withColumnRenamed("batch", "added").write.mode("overwrite").parquet(target)
+        if name in KEYS:
+            written = spark.read.parquet(target)
+            keys = written if name == "documents" else written.filter(F.col("bid") == F.col("member"))
+            blocks = blocks_for(keys.count())
+            build_filter(keys, KEYS[name], blocks).write.mode("overwrite").parquet(f"{folder}/filter_{name}/batch={batch}")
+            filters.append((name, batch, blocks))
+    return filters
+
+
+def _save(tables: Mapping[str, DataFrame], spark: SparkSession, path: str, last_batch: int) -> None:
+    before = _state(spark, path)
+    version = before.version + 1 if before else 0
+    folder = f"v{version}-{uuid.uuid4().hex[:8]}"
+    filters = _write_batch(spark, f"{path}/{folder}", tables, last_batch)
+    _publish(spark, path, version, folder, last_batch, filters)
+
+
 def save_index(index: Index, path: str) -> None:
     """Write the index to a fresh folder below ``path``, then switch readers to it.
 
-    One folder per table; all but the vocabulary hold one folder per batch. An
-    index saved to the same path before stays readable until the switch, and
-    nothing of it is read after.
+    An index saved to the same path before stays readable, also after the
+    switch, until ``remove_superseded`` deletes it.
     """
-    before = _state(index.spark, path)
-    version = before.version + 1 if before else 0
-    folder = f"v{version}-{uuid.uuid4().hex[:8]}"
-    span = index.documents.agg(F.min("batch").alias("lo"), F.max("batch").alias("hi")).first()
-    for name, df in index.tables().items():
-        target = f"{path}/{folder}/{name}"
-        if name == "vocabulary":
-            df.write.parquet(target)
-        elif span["lo"] == span["hi"]:
-            df.drop("batch").write.parquet(f"{target}/batch={span['lo'] or 0}")
-        else:
-            of = {"weights": "bid.batch", "copies": "member.batch"}.get(name.rsplit("_", 1)[-1])
-            by_batch = df.withColumn("batch", F.col(of)) if of else df
-            by_batch.write.partitionBy("batch").parquet(target)
-    _publish(index.spark, path, version, folder, span["hi"] or 0)
+    last = index.documents.agg(F.max("batch")).first()[0]
+    _save(index.tables(), index.spark, path, last or 0)
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
@@ -237,27 +297,81 @@ def load_index(spark: SparkSession, path: str) -> Index:
     state = _state(spark, path)
     if state is None:
         raise FileNotFoundError(f"no saved index at {path}")
-    tables = {name: spark.read.parquet(f"{path}/{state.folder}/{name}") for name in TABLES}
     done = F.col("batch") <= state.last_batch
-    tables["documents"] = tables["documents"].filter(done).select("batch", "doc_id", "text")
-    tables["sentences"] = tables["sentences"].filter(done).select("batch", "doc_id", "sent_idx", "sentence")
-    for name in ("document_copies", "sentence_copies", "document_weights", "sentence_weights"):
-        tables[name] = tables[name].filter(done).drop("batch")
-    return Index(**tables)
-
-
-def append_to_saved(spark: SparkSession, path: str, arrived: DataFrame) -> None:
+    raw = {name: spark.read.parquet(f"{path}/{state.folder}/{name}") for name in TABLES}
+    raw = {name: df if name == "vocabulary" else df.filter(done) for name, df in raw.items()}
+    tables = {name: df.drop("batch") for name, df in raw.items()}
+    for name in ("documents", "sentences"):
+        # Folders of before the compaction have no column of their own for it.
+        added = F.coalesce("added", "batch") if "added" in raw[name].columns else F.col("batch")
+        rest = [c for c in raw[name].columns if c not in ("added", "batch")]
+        tables[name] = raw[name].select(added.alias("batch"), *rest)
+    stored = None
+    if state.filters is not None:
+        stored = {
+            name: StoredKeys(
+                raw[name],
+                key,
+                spark.read.parquet(f"{path}/{state.folder}/filter_{name}"),
+                {f["batch"]: f["blocks"] for f in state.filters if f["name"] == name},
+            )
+            for name, key in KEYS.items()
+        }
+    return Index(**tables, stored=stored)
+
+
+def append_to_saved(spark: SparkSession, path: str, arrived: DataFrame, compact_after: int | None = None) -> None:
     """Append new documents to a saved index, safe to repeat after a failure:
-    a retry takes the same batch number and overwrites its folders."""
+    a retry takes the same batch number and overwrites its folders.
+
+    With ``compact_after``, an index of more than so many batches is compacted.
+    """
     state = _state(spark, path)
     index = load_index(spark, path)
     batch = state.last_batch + 1
     parts = {name: materialize(df, name) for name, df in _append(index, arrived, batch).items()}
     if parts["documents"].isEmpty():
         return
-    for name, df in parts.items():
-        df.drop("batch").write.mode("overwrite").parquet(f"{path}/{state.folder}/{name}/batch={batch}")
-    _publish(spark, path, state.version + 1, state.folder, batch)
+    filters = _write_batch(spark, f"{path}/{state.folder}", parts, batch)
+    filters = None if state.filters is None else [tuple(f) for f in state.filters] + filters
+    _publish(spark, path, state.version + 1, state.folder, batch, filters)
+    if compact_after is not None and filters is not None and len(filters) > compact_after * len(KEYS):
+        compact_saved(spark, path)
+
+
+def compact_saved(spark: SparkSession, path: str) -> None:
+    """Merge all batches of a saved index into one, in a fresh folder that readers are then switched to.
+
+    Every table is range-partitioned and sorted by what it is searched by. Row
+    counts decide the number of files (adaptive partition sizes), not the number
+    of appends. Content and corpus order stay.
+    """
+    state = _state(spark, path)
+    tables = {
+        name: df.repartitionByRange(*CLUSTERED[name]).sortWithinPartitions(*CLUSTERED[name])
+        for name, df in load_index(spark, path).tables().items()
+    }
+    _save(tables, spark, path, state.last_batch)
+
+
+def remove_superseded(spark: SparkSession, path: str, grace_seconds: float) -> list[str]:
+    """Delete folders and manifest rows that were superseded over ``grace_seconds`` ago; the folders' names.
+
+    ``grace_seconds`` must exceed the longest time that a reader works with a
+    loaded index. The newest row and its folder always stay, and so does what
+    an unfinished save left, as it cannot be told from one at work.
+    """
+    rows = _manifest(spark, path).select("version", "folder", "published", F.col("_metadata.file_path").alias("file"))
+    rows = rows.orderBy("version").collect()  # one row per append since the last removal
+    newest, now = rows[-1], time.time()
+    due = [r for r, later in zip(rows, rows[1:]) if later.published is not None and now - later.published >= grace_seconds]
+    kept = {r.folder for r in rows if r not in due} | {newest.folder}
+    folders = sorted({r.folder for r in due} - kept)
+    for folder in folders:
+        _delete(spark, f"{path}/{folder}")
+    for row in due:
+        _delete(spark, row.file)
+    return folders
 
 
 def index_health(index: Index, detector: str = "heuristic") -> DataFrame:

@@ -193,6 +193,20 @@ def index_roundtrip(spark, folder):
     return found.select("query_id", "rank", "source", "similarity")
 
 
+def compacted_index(spark, folder):
+    """Every document of a saved index after arrivals and a compaction: batch, sentences, first place of its text."""
+    path = new_path(spark, "compacted-index")
+    I.save_index(C.shared_index(spark, folder), path)
+    I.append_to_saved(spark, path, corpus_table(spark, folder).unionByName(_arrivals(spark, folder)))
+    I.append_to_saved(spark, path, _arrivals(spark, folder))  # all known by now
+    I.compact_saved(spark, path)
+    ix = I.load_index(spark, path)
+    firsts = ix.document_copies.select(F.col("member.doc_id").alias("doc_id"), F.col("bid.doc_id").alias("first_doc_id"))
+    counts = ix.sentences.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"))
+    rows = ix.documents.select("doc_id", "batch").join(firsts, "doc_id").join(counts, "doc_id", "left")
+    return rows.select("doc_id", F.col("batch").cast("long").alias("batch"), F.coalesce("sentences", F.lit(0)).alias("sentences"), "first_doc_id")
+
+
 # ---- vectors -------------------------------------------------------------------
 
 
@@ -321,6 +335,7 @@ QUERIES = {
     "out_of_vocabulary": out_of_vocabulary,
     "index_health": index_health,
     "index_roundtrip": index_roundtrip,
+    "compacted_index": compacted_index,
     "knn_topk": knn_topk,
     "knn_pivots": knn_pivots,
     "knn_quantized": knn_quantized,
@@ -463,6 +478,12 @@ SELECT doc_id, {C.sql_round('1.0::DOUBLE - count(vocab.term) / count(*)::DOUBLE'
     "index_health": f"""WITH {C.cte_sentences('ds', 'documents', 'doc_id')}
 SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM ds) AS sentences, 'heuristic' AS detector""",
     "index_roundtrip": _RANKING,
+    "compacted_index": f"""WITH {_ALL_DOCS},
+a AS (SELECT doc_id, text, 0::BIGINT AS batch FROM documents UNION ALL SELECT doc_id, text, 1::BIGINT FROM arrived),
+{C.cte_sentences('asn', 'a', 'doc_id')},
+n AS (SELECT doc_id, count(*) AS sentences FROM asn GROUP BY doc_id)
+SELECT doc_id, batch, coalesce(sentences, 0) AS sentences,
+       first(doc_id) OVER (PARTITION BY text ORDER BY batch, doc_id) AS first_doc_id FROM a LEFT JOIN n USING (doc_id)""",
     "knn_topk": f"{_KNN} SELECT query_id, rank, vec_id, {C.sql_round('score', 6)} AS score FROM r WHERE rank <= {NEIGHBOURS}",
     "knn_pivots": f"{_KNN} SELECT query_id, rank, vec_id, {C.sql_round('score', 6)} AS score FROM r WHERE rank <= {NEIGHBOURS}",
     "knn_quantized": f"SELECT count(*) AS queries, count(*) * {NEIGHBOURS} AS found, TRUE AS true_scores, TRUE AS recall_reached FROM embeddings",
