@@ -10,11 +10,14 @@ from copytrace.operators import similarity, split, train, vectorize
 from copytrace.operators.statistics import STATS, text_stats
 from copytrace.operators.vectors import embed_table
 from copytrace.plans import common as C
-from copytrace.sources.files import MAX_CHARS, MIN_CHARS, accepted, extract_text, rejected, valid_texts
+from copytrace.session import new_path
+from copytrace.sources.files import MAX_CHARS, MIN_CHARS, accepted, extract_text, load_blocks, rejected, valid_texts
 from copytrace.sources.labelled import encode_label, labelled_turns, normalize_labelled, row_ids
 from copytrace.sources.tables import corpus_table, read_table, spread, turn_table
 
 VECTOR_DIGITS = 6
+# Small enough that the test tables make many blocks; a corpus takes the default.
+LINE_BLOCK = 256 << 10
 
 
 def clean_text(spark, folder):
@@ -173,6 +176,15 @@ def rejected_files(spark, folder):
     return rejected(extract_text(_files(spark, folder)))
 
 
+def ingest_blocks(spark, folder):
+    """The lines of the documents, written as plain text files and read in blocks: none cut, lost or read twice."""
+    path = new_path(spark, "texts")
+    spread(read_table(spark, folder, "documents")).select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
+    lines = load_blocks(spark, path, LINE_BLOCK).select(F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.where("line <> ''")
+    return lines.groupBy(F.md5("line").alias("line_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _hashed_words(texts):
     import zlib
 
@@ -218,6 +230,7 @@ QUERIES = {
     "balanced_class_weights": balanced_class_weights,
     "ingest_documents": ingest_documents,
     "rejected_files": rejected_files,
+    "ingest_blocks": ingest_blocks,
     "embed_table": embed,
 }
 
@@ -320,4 +333,6 @@ SELECT conv_id, turn, label, CASE WHEN rank <= quota THEN 'test' ELSE 'train' EN
 SELECT label, n, {C.sql_round('sum(n) OVER ()::DOUBLE / (count(*) OVER () * n)', 6)} AS weight FROM c""",
     "ingest_documents": "SELECT lang || '_' || doc_id || '.TXT' AS doc_id, text FROM documents",
     "rejected_files": "SELECT page_id || '.html' AS doc_id, 'unsupported' AS reason FROM pages",
+    "ingest_blocks": """SELECT md5(line) AS line_md5, count(*) AS n
+FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY line""",
 }

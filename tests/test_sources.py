@@ -2,6 +2,8 @@ import io
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from copytrace.operators.index import build_index, index_health, load_index, save_index
 from copytrace.operators.reuse import reuse_report_from_files
@@ -45,6 +47,53 @@ def test_folder(spark, tmp_path):
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
 
 
+TEXTS = ["", "one line", "a\nbb\n\nccc", "no break at all " * 40, "é€𝄞" * 200, "x" * 500, "long " * 30 + "\n" + "y" * 90 + "\nend\n"]
+
+
+@pytest.mark.parametrize("block", [4, 7, 64, 1000])
+def test_blocks_are_the_file(spark, tmp_path, block):
+    for i, text in enumerate(TEXTS):
+        (tmp_path / f"f {i}%41.txt").write_bytes(text.encode())
+    (tmp_path / "skip.docx").write_bytes(b"x" * 100)
+    rows = files.load_blocks(spark, str(tmp_path), block, 32).collect()
+    for i, text in enumerate(TEXTS):
+        parts = sorted((r["block"], r["text"]) for r in rows if r["doc_id"] == f"f {i}%41.txt")
+        assert "".join(t for _, t in parts) == text
+        assert len(parts) > 1 or len(text.encode()) <= max(block, 36)
+        assert all(len(t.encode()) <= block + 33 for _, t in parts)
+    assert files.load_blocks(spark, str(tmp_path / "missing")).count() == 0
+    with pytest.raises(ValueError):
+        files.load_blocks(spark, str(tmp_path), 3)
+
+
+class Memory:
+    def __init__(self, data):
+        self.data = data
+
+    def read_at(self, n, at):
+        return self.data[at : at + n]
+
+
+@given(st.lists(st.sampled_from([b"a", b" ", b"\n", "é".encode(), "€".encode(), "𝄞".encode(), b"\x80", b"\xe2\x82", b"\xff", b"\xf0"]), max_size=60), st.integers(4, 20), st.integers(1, 20))
+@settings(max_examples=400, deadline=None)
+def test_any_bytes_in_blocks(pieces, block, reach):
+    data = b"".join(pieces)
+    parts = [files.read_block(Memory(data), at, at + block, len(data), reach) for at in range(0, max(len(data), 1), block)]
+    assert b"".join(parts) == data
+    # Invalid bytes are replaced as in the whole text.
+    assert "".join(map(files.text_from_txt, parts)) == files.text_from_txt(data)
+
+
+def test_large_files_of_a_corpus(spark, tmp_path):
+    (tmp_path / "small.txt").write_text("Owls hunt.")
+    (tmp_path / "large.TXT").write_text("Bread rises slowly.\n" * 10)
+    (tmp_path / "a.docx").write_bytes(docx("First part " * 50))
+    rows = {r["doc_id"]: r["text"] for r in files.load_corpus(spark, str(tmp_path), block_bytes=100).collect()}
+    assert rows["small.txt"] == "Owls hunt." and rows["a.docx"].startswith("First part")
+    assert {k for k in rows if "#" in k} == {"large.TXT#00000", "large.TXT#00001"} and len(rows) == 4
+    assert rows["large.TXT#00000"] + rows["large.TXT#00001"] == "Bread rises slowly.\n" * 10
+
+
 def test_report_from_files(spark, tmp_path):
     (tmp_path / "copy.txt").write_text("Owls hunt at night. Plain filler here.")
     (tmp_path / "other.docx").write_bytes(docx("Bread rises slowly."))
