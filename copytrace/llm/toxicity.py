@@ -1,20 +1,23 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 Features of a text: the distinct words' prefixes of three to six letters and
-whole words, kept if they mark toxic texts in the fitting sample (a two-sample
-z of at least ``LEAST_Z`` and ``LEAST_LIFT`` times the rate of clean texts; the
-``FEATURES`` X
+whole words, of any length, kept if they mark toxic texts in the fitting
+sample: a two-sample z of at least ``LEAST_Z`` and ``LEAST_LIFT`` times the rate
+of clean texts. All that pass are kept.
 
 Grades: 0 for texts labelled clean; texts labelled toxic are graded 1 to 3 by
-the thirds of their number of marked words. The model is one weight vector
+the thirds of their extent, the number of ``SEGMENT``-word segments that hold a
+mark found in the other half of the sample, so that no text is graded by marks
+it helped to choose. The model is one weight vector
 shared by all thresholds: P(grade >= k) = sigmoid(w x - theta_k) with
 theta_1 < theta_2 < theta_3, fitted by maximum likelihood. A text's severity
 is its expected grade, the sum of P(grade >= k); it is toxic if P(grade >= 1)
 is at least 1/2.
 
-The fit reads at most ``PER_LABEL`` texts of either label (the first by a hash
-of the id), a bounded and documented sample. The driver sees the sample's kept
-features only. Everything else covers all rows and whole texts.
+The fit reads at most ``PER_LABEL`` rows of either label (the first by a hash
+of id and text), a bounded and documented sample, also where an id has many
+texts. The driver sees the sample's kept features only, as sparse rows.
+Everything else covers all rows and whole texts.
 
 Defined cases: a null or empty text has no features and the grade such a text
 implies; without labels of both kinds everything has severity 0; label rows
@@ -39,7 +42,6 @@ from copytrace.session import materialize
 from copytrace.sources.tables import read_table
 
 PER_LABEL = 3000
-FEATURES = 1000
 LEAST_Z = 5.0
 LEAST_LIFT = 8.0
 GRADES = 4
@@ -47,6 +49,7 @@ PREFIXES = (3, 4, 5, 6)
 CACHE_WORDS = 300_000
 STEPS = 400
 PER_WORDS = 50
+SEGMENT = 8
 
 
 def features_of(token: str) -> list[str]:
@@ -57,7 +60,7 @@ def features_of(token: str) -> list[str]:
     while stop > start and not token[stop - 1].isalpha():
         stop -= 1
     word = token[start:stop].lower()
-    if not word or len(word) > 64:
+    if not word:
         return []
     return [*(f"^{word[:n]}" for n in PREFIXES if n < len(word)), f"^{word}$"]
 
@@ -101,11 +104,35 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds - score, -700, 700)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Rows:
+    """A sparse matrix by its cells."""
+
+    shape: tuple[int, int]
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(x: np.ndarray) -> Rows:
+        row, column = np.nonzero(x)
+        return Rows(x.shape, row, column, x[row, column])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.shape[0])
+
+    def sums(self, g: np.ndarray) -> np.ndarray:
+        """Transposed matrix times ``g``."""
+        return np.bincount(self.column, self.value * g[self.row], self.shape[1])
+
+
+def fit_ordinal(x: np.ndarray | Rows, grade: np.ndarray, weight: np.ndarray, grades: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of greatest likelihood (with a small ridge), by adaptive gradient steps.
 
     theta_1 is free and the gaps are exponentials, so the order holds throughout.
     """
+    if isinstance(x, np.ndarray):
+        x = Rows.of(x)
     n, m = x.shape
     params = np.concatenate((np.zeros(m), [1.0], np.zeros(grades - 2)))
     first, second = np.zeros_like(params), np.zeros_like(params)
@@ -115,28 +142,62 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: in
         w, gaps = params[:m], np.exp(params[m + 1 :])
         theta = np.concatenate(([-np.inf], params[m] + np.concatenate(([0.0], np.cumsum(gaps))), [np.inf]))
         with np.errstate(over="ignore"):
-            above = 1.0 / (1.0 + np.exp(theta[None, :] - (x @ w)[:, None]))  # P(grade >= k), k = 0 .. grades
+            above = 1.0 / (1.0 + np.exp(theta[None, :] - x.times(w)[:, None]))  # P(grade >= k), k = 0 .. grades
         hit = np.maximum(above[rows, grade] - above[rows, grade + 1], 1e-12)
         slope = above * (1 - above)
         low, high = weight * slope[rows, grade] / hit, weight * slope[rows, grade + 1] / hit
         d_theta = np.bincount(grade, low, grades + 1) - np.bincount(grade + 1, high, grades + 1)
         d_gap = np.array([d_theta[k:grades].sum() for k in range(2, grades)]) * gaps
-        grad = np.concatenate((-x.T @ (low - high) + 1e-4 * w, [d_theta[1:grades].sum()], d_gap))
+        grad = np.concatenate((-x.sums(low - high) + 1e-4 * w, [d_theta[1:grades].sum()], d_gap))
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         params = params - 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
     return params[:m], params[m] + np.concatenate(([0.0], np.cumsum(np.exp(params[m + 1 :]))))
 
 
+# Texts that hold a feature, by label and half of the sample.
+COUNTS = ("clean0", "clean1", "toxic0", "toxic1")
+
+
 def _presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts per feature and label, added up within a task."""
-    counts: tuple[Counter, Counter] = Counter(), Counter()
+    """Texts per feature, label and half, added up within a task."""
+    counts: dict[str, Counter] = {c: Counter() for c in COUNTS}
     for batch in batches:
-        for text, toxic in zip(batch.text, batch.toxic):
-            counts[int(toxic)].update({f for token in set(text.split()) for f in features_of(token)})
-    names = list(counts[0].keys() | counts[1].keys())
+        for text, toxic, half in zip(batch.text, batch.toxic, batch.half):
+            counts[COUNTS[2 * int(toxic) + int(half)]].update({f for token in set(text.split()) for f in features_of(token)})
+    names = list(set().union(*counts.values()))
     for at in range(0, len(names), 20_000):
         part = names[at : at + 20_000]
-        yield pd.DataFrame({"name": part, "clean": [counts[0][f] for f in part], "toxic": [counts[1][f] for f in part]})
+        yield pd.DataFrame({"name": part} | {c: [counts[c][f] for f in part] for c in COUNTS})
+
+
+def _marks(clean: Column, toxic: Column, n_clean: float, n_toxic: float) -> Column:
+    """Whether a feature held by so many texts of either label marks toxic ones."""
+    if not n_clean or not n_toxic:
+        return F.lit(False)
+    both = (clean + toxic) / (n_clean + n_toxic)
+    deviation = F.sqrt(both * (1 - both) * (1 / n_clean + 1 / n_toxic)) + 1e-12
+    more = (toxic / n_toxic - clean / n_clean) / deviation >= LEAST_Z
+    return more & (toxic / n_toxic >= LEAST_LIFT * clean / n_clean)
+
+
+def extent(text: str, marks: frozenset[str]) -> int:
+    """Segments of ``SEGMENT`` words that hold a marked word."""
+    marked = [i // SEGMENT for i, token in enumerate(text.split()) if not marks.isdisjoint(features_of(token))]
+    return len(set(marked))
+
+
+def _sample(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """id, mark, text, toxic, half of the rows the fit reads."""
+    parts = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(PER_LABEL) for label in (0, 1)]
+    # At most 2 x PER_LABEL ids.
+    found = docs.join(F.broadcast(parts[0].union(parts[1])), "id")
+    found = found.select("id", text_of("text").alias("text"), F.col("toxic").cast("int")).withColumn("mark", F.xxhash64("text"))
+    found = materialize(found.dropDuplicates(["id", "mark"]), "toxicity-found")
+    # An id may have many texts: rows are bounded too.
+    by_hash = (F.xxhash64("id", "mark"), F.col("id"), F.col("mark"))
+    keys = [found.where(F.col("toxic") == label).select("id", "mark").orderBy(*by_hash).limit(PER_LABEL) for label in (0, 1)]
+    rows = found.join(F.broadcast(keys[0].union(keys[1])), ["id", "mark"])
+    return materialize(rows.withColumn("half", F.pmod(F.xxhash64("mark", "id"), F.lit(2)).cast("int")), "toxicity-sample")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -145,38 +206,45 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     known = known.join(docs.select("id").distinct(), "id", "left_semi")
     known = materialize(known, "toxicity-labels")
     of = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    parts = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(PER_LABEL) for label in (0, 1)]
-    chosen = parts[0].union(parts[1])
-    # At most 2 x PER_LABEL ids.
-    sample = docs.join(F.broadcast(chosen), "id").select("id", text_of("text").alias("text"), F.col("toxic").cast("int"))
-    sample = materialize(sample.dropDuplicates(["id", "text"]), "toxicity-sample")
-    sizes = sample.agg(F.sum(1 - F.col("toxic")), F.sum("toxic")).first()
-    if not sizes[0] or not sizes[1]:
+    sample = _sample(docs, known)
+    sizes = {c: 0.0 for c in COUNTS}
+    for r in sample.groupBy("toxic", "half").agg(F.count(F.lit(1)).alias("n")).collect():  # four rows
+        sizes[COUNTS[2 * r.toxic + r.half]] = float(r.n)
+    clean, toxic = sizes["clean0"] + sizes["clean1"], sizes["toxic0"] + sizes["toxic1"]
+    if not clean or not toxic:
         return None
-    clean, toxic = map(float, sizes)
-    seen = sample.select("text", "toxic").mapInPandas(_presence, "name string, clean long, toxic long")
-    seen = seen.groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    both = (F.col("clean") + F.col("toxic")) / (clean + toxic)
-    spread_ = F.sqrt(both * (1 - both) * (1 / clean + 1 / toxic)) + 1e-12
-    scored = seen.withColumn("z", (F.col("toxic") / toxic - F.col("clean") / clean) / spread_)
-    scored = scored.where((F.col("z") >= LEAST_Z) & (F.col("toxic") / toxic >= LEAST_LIFT * F.col("clean") / clean))
-    kept = scored.orderBy(F.desc("z"), "name").limit(FEATURES).select("name").toPandas()
-    model = Model({f: i for i, f in enumerate(kept.name)}, np.zeros(2 * len(kept)), np.zeros(GRADES - 1))
+    seen = sample.select("text", "toxic", "half").mapInPandas(_presence, "name string, " + ", ".join(f"{c} long" for c in COUNTS))
+    seen = seen.groupBy("name").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    by_half = [_marks(F.col(f"clean{h}"), F.col(f"toxic{h}"), sizes[f"clean{h}"], sizes[f"toxic{h}"]) for h in (0, 1)]
+    both = _marks(F.col("clean0") + F.col("clean1"), F.col("toxic0") + F.col("toxic1"), clean, toxic)
+    kept = seen.select("name", both.alias("both"), *[m.alias(f"half{h}") for h, m in enumerate(by_half)])
+    kept = kept.where("both OR half0 OR half1").orderBy("name").toPandas()  # what marks toxic texts of the sample
+    names = {f: i for i, f in enumerate(kept.name[kept.both])}
+    # A text is graded by the marks of the other half.
+    others = [frozenset(kept.name[kept[f"half{1 - h}"]]) for h in (0, 1)]
+    model = Model(names, np.zeros(2 * len(names)), np.zeros(GRADES - 1))
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = [model.values(t) for t in batch.text]
-            yield pd.DataFrame({"id": batch.id.astype(str), "toxic": batch.toxic, "at": [list(v) for v in values], "x": [list(v.values()) for v in values]})
-
-    rows = sample.mapInPandas(sparse, "id string, toxic int, at array<int>, x array<double>").toPandas()
-    rows = rows.sort_values("id", kind="stable", ignore_index=True)
-    x = np.zeros((len(rows), 2 * len(kept)))
-    for row, at, values in zip(x, rows["at"], rows.x):
-        row[np.asarray(at, int)] = values
-    marks = np.expm1(x[:, : len(kept)]).sum(axis=1)
-    label = rows.toxic.to_numpy()
-    thirds = np.quantile(marks[label == 1], [1 / 3, 2 / 3])
-    grade = np.where(label == 1, 1 + np.searchsorted(thirds, marks, side="left"), 0)
+            extents = [extent(t, others[h]) for t, h in zip(batch.text, batch.half)]
+            yield pd.DataFrame(
+                {"id": batch.id.astype(str), "mark": batch.mark, "toxic": batch.toxic, "extent": extents}
+                | {"at": [list(v) for v in values], "x": [list(v.values()) for v in values]}
+            )
+
+    schema = "id string, mark long, toxic int, extent long, at array<int>, x array<double>"
+    rows = sample.mapInPandas(sparse, schema).toPandas().sort_values(["id", "mark"], ignore_index=True)
+    at = [np.asarray(v, np.int64) for v in rows["at"]]
+    x = Rows(
+        (len(rows), 2 * len(names)),
+        np.repeat(np.arange(len(rows)), [len(v) for v in at]),
+        np.concatenate(at),
+        np.concatenate([np.asarray(v, float) for v in rows.x]),
+    )
+    label, extents = rows.toxic.to_numpy(), rows.extent.to_numpy()
+    thirds = np.quantile(extents[label == 1], [1 / 3, 2 / 3])
+    grade = np.where(label == 1, 1 + np.searchsorted(thirds, extents, side="left"), 0)
     # The sample stands for all labels in their true proportion.
     weight = np.where(label == 1, of[1] / toxic, of[0] / clean)
     model.weights, model.thresholds = fit_ordinal(x, grade, weight)
@@ -185,7 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(id, at_least) of ``docs(id, text)``: P(grade >= k) for k from 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the weights of a bounded sample's marks
 
     @F.pandas_udf("array<double>")
     def decide(texts: pd.Series) -> pd.Series:

@@ -72,3 +72,64 @@ def test_thresholds_are_ordered_and_the_likelihood_is_at_its_peak():
         for move in (-0.05, 0.05):
             step = np.eye(5)[k] * move
             assert loss(w + step[:2], theta + step[2:]) > here - 1e-6
+
+
+def plain_words(text):
+    """Distinct features of every token of a text, by plain rules."""
+    out = []
+    for token in text.split():
+        letters = [i for i, c in enumerate(token) if c.isalpha()]
+        word = token[letters[0] : letters[-1] + 1].lower() if letters else ""
+        out.append({"^" + word[:n] for n in (3, 4, 5, 6) if n < len(word)} | {f"^{word}$"} if word else set())
+    return out
+
+
+def test_marks_scores_and_rows_by_brute_force(spark, tmp_path):
+    rows, labels = table(300, seed=5)
+    # A mark longer than any usual word, and an id with many texts.
+    long = "z" * 90
+    rows = [(i, t + (f" {long}." if i % 8 == 0 else "")) for i, t in rows] + [(2, f"again {k} ti ru") for k in range(40)]
+    known = [x for x in labels if x[0] < 200]
+    d = spark.createDataFrame(rows, "id long, text string")
+    y = spark.createDataFrame([(i, t) for i, _, t in known], "id long, toxic int")
+    model = toxicity.learn(d, y)
+    of = {i: t for i, _, t in known}
+    sample = [(set().union(*plain_words(t)), of[i]) for i, t in set(rows) if i in of]
+    n = [sum(1 for _, t in sample if t == k) for k in (0, 1)]
+    want = set()
+    for f in set().union(*(s for s, _ in sample)):
+        rate = [sum(f in s for s, t in sample if t == k) / n[k] for k in (0, 1)]
+        p = (rate[0] * n[0] + rate[1] * n[1]) / sum(n)
+        z = (rate[1] - rate[0]) / ((p * (1 - p) * (1 / n[0] + 1 / n[1])) ** 0.5 + 1e-12)
+        if z >= 5 and rate[1] >= 8 * rate[0]:
+            want.add(f)
+    assert set(model.names) == want and f"^{long}$" in want
+    m = len(want)
+    found = toxicity.predict(d, model).collect()
+    assert len(found) == len(rows)
+    got = sorted((r.id, tuple(round(p, 9) for p in r.at_least)) for r in found)
+    expected = []
+    for i, text in rows:
+        words = plain_words(text)
+        score = 0.0
+        for f, at in model.names.items():
+            distinct = {max(w, key=lambda g: (g.endswith("$"), g)) for w in words if f in w}
+            total = sum(f in w for w in words)
+            if total:
+                share = toxicity.PER_WORDS / (len(words) + toxicity.PER_WORDS)
+                score += model.weights[at] * np.log1p(len(distinct)) + model.weights[at + m] * np.log1p(total * share)
+        expected.append((i, tuple(round(float(1 / (1 + np.exp(t - score))), 9) for t in model.thresholds)))
+    assert got == sorted(expected)
+
+
+def test_extent_counts_segments():
+    marks = frozenset({"^vil"})
+    assert toxicity.extent("", marks) == 0 and toxicity.extent("a b vilezor vilemak", marks) == 1
+    assert toxicity.extent(" ".join(["vilezor"] + ["a"] * 7 + ["(Vilemak)"] + ["b"] * 30), marks) == 2
+
+
+def test_rows_of_the_fit_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PER_LABEL", 20)
+    d = spark.createDataFrame([(1, f"clean text {i}") for i in range(100)] + [(2, f"vilezor {i}") for i in range(100)], "id long, text string")
+    known = spark.createDataFrame([(1, 0), (2, 1)], "id long, toxic int")
+    assert sorted(r["count"] for r in toxicity._sample(d, known).groupBy("toxic").count().collect()) == [20, 20]
