@@ -271,6 +271,25 @@ def lsa_components(spark, folder):
     return _space(spark, folder).components
 
 
+def lsa_energy(spark, folder):
+    """The matrix's energy, and whether the components are orthonormal and hold what their singular values say."""
+    space = _space(spark, folder)
+    weights = materialize(lsa.fit_matrix(C.shared_index(spark, folder)), "matrix")
+    total = weights.agg(F.sum(F.col("w") * F.col("w"))).first()[0]
+    coords = lsa.project(weights, space.components, space.columns, ["bid"])
+    held = coords.agg(*[F.sum(F.col(c) * F.col(c)).alias(c) for c in space.columns])
+    squares = [s * s for s in space.singular_values]
+    near = [F.abs(F.col(c) - F.lit(x)) <= 1e-6 * squares[0] for c, x in zip(space.columns, squares)]
+    captured = F.lit(float(sum(squares)))
+    return held.select(
+        F.lit(len(squares)).cast("long").alias("components"),
+        round_even(F.lit(total), 4).alias("energy"),
+        F.lit(lsa.is_orthonormal(space)).alias("orthonormal"),
+        reduce(lambda a, b: a & b, near).alias("values_match"),
+        ((captured > 0) & (captured <= F.lit(total) * (1 + 1e-9))).alias("within_energy"),
+    )
+
+
 def lsa_embed(spark, folder):
     vecs = semantic.document_vectors(C.shared_index(spark, folder), _space(spark, folder))
     return vecs.select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("pos", "value"))
@@ -343,6 +362,7 @@ QUERIES = {
     "knn_topk_padded": knn_topk_padded,
     "knn_lsh": knn_lsh,
     "lsa_components": lsa_components,
+    "lsa_energy": lsa_energy,
     "lsa_embed": lsa_embed,
     "document_ranking_lsa": document_ranking_lsa,
     "sentence_match_lsa": sentence_match_lsa,
@@ -486,6 +506,13 @@ SELECT doc_id, batch, coalesce(sentences, 0) AS sentences,
        first(doc_id) OVER (PARTITION BY text ORDER BY batch, doc_id) AS first_doc_id FROM a LEFT JOIN n USING (doc_id)""",
     "knn_topk": f"{_KNN} SELECT query_id, rank, vec_id, {C.sql_round('score', 6)} AS score FROM r WHERE rank <= {NEIGHBOURS}",
     "knn_pivots": f"{_KNN} SELECT query_id, rank, vec_id, {C.sql_round('score', 6)} AS score FROM r WHERE rank <= {NEIGHBOURS}",
+    # Every row of the matrix is a text's unit vector, a copy counted again.
+    "lsa_energy": f"""WITH {C.SQL_INDEX},
+{C.cte_weights('dw', 'dp', 'doc_id', 'vocab')},
+{C.cte_weights('sw', 'sp', 'doc_id, sent_idx', 'vocab')},
+w AS (SELECT w FROM dw UNION ALL SELECT w FROM sw)
+SELECT (SELECT least({LSA_COMPONENTS}, count(*) - 1) FROM vocab) AS components, {C.sql_round('sum(w * w)', 4)} AS energy,
+       TRUE AS orthonormal, TRUE AS values_match, TRUE AS within_energy FROM w""",
     "knn_quantized": f"SELECT count(*) AS queries, count(*) * {NEIGHBOURS} AS found, TRUE AS true_scores, TRUE AS recall_reached FROM embeddings",
     "knn_lsh_recall": f"SELECT count(*) AS queries, count(*) * {NEIGHBOURS} AS found, TRUE AS true_scores, TRUE AS recall_reached FROM embeddings",
     "knn_topk_padded": f"""{_KNN}

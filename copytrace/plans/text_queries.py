@@ -185,20 +185,24 @@ def ingest_blocks(spark, folder):
     return lines.groupBy(F.md5("line").alias("line_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
+PLACES = 32
+
+
 def _hashed_words(texts):
-    import zlib
+    import hashlib
 
     import numpy as np
 
-    out = np.zeros((len(texts), 32))
+    out = np.zeros((len(texts), PLACES))
     for i, text in enumerate(texts):
-        for word in text.lower().split():
-            out[i, zlib.crc32(word.encode()) % 32] += 1.0
+        for word in (text or "").lower().split(" "):
+            if word:
+                out[i, int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % PLACES] += 1.0
     return out
 
 
 def embed(spark, folder):
-    """A stand-in for a caller's model: word counts hashed into 32 places."""
+    """A stand-in for a caller's model: word counts hashed into a few places."""
     vecs = embed_table(corpus_table(spark, folder), _hashed_words)
     return vecs.select("doc_id", F.posexplode("embedding").alias("pos", "x")).select(
         "doc_id", "pos", round_even(F.col("x"), VECTOR_DIGITS).alias("value")
@@ -335,4 +339,10 @@ SELECT label, n, {C.sql_round('sum(n) OVER ()::DOUBLE / (count(*) OVER () * n)',
     "rejected_files": "SELECT page_id || '.html' AS doc_id, 'unsupported' AS reason FROM pages",
     "ingest_blocks": """SELECT md5(line) AS line_md5, count(*) AS n
 FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY line""",
+    "embed_table": f"""WITH w AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents),
+p AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 4))::BIGINT % {PLACES} AS pos, count(*)::DOUBLE AS n FROM w WHERE word <> '' GROUP BY ALL),
+l AS (SELECT doc_id, sqrt(sum(n * n)) AS length FROM p GROUP BY doc_id),
+g AS (SELECT doc_id, unnest(range({PLACES})) AS pos FROM documents)
+SELECT g.doc_id, g.pos::INT AS pos, {C.sql_round('coalesce(n / length, 0.0::DOUBLE)', VECTOR_DIGITS)} AS value
+FROM g LEFT JOIN p ON p.doc_id = g.doc_id AND p.pos = g.pos LEFT JOIN l ON l.doc_id = g.doc_id""",
 }
