@@ -8,8 +8,10 @@ Only those leading terms are joined, and at the first common term the rest of
 the product is bounded by the lengths that are left (Cauchy-Schwarz). What
 passes is multiplied out.
 
-Rows are partitioned by document and term or by document and sentence, never
-by document alone, so a very long document is the work of many tasks.
+Usual documents are dealt once, by their id, and everything up to the weights
+happens where they lie. Documents of over ``LONG_CHARS`` are partitioned by term
+and by sentence instead, and so are all pairs, so that a very long document is
+the work of many tasks.
 """
 
 from __future__ import annotations
@@ -24,16 +26,24 @@ from copytrace.session import materialize
 
 # Bounds are loosened by this much for rounding; scores are not.
 SLACK = 1e-9
+LONG_CHARS = 500_000
 
 
-def sentence_terms(docs: DataFrame) -> DataFrame:
-    """doc_id, id, copies, term, w, rest, rows, first of every distinct sentence with a token in a text of several.
+def sentence_terms(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """doc_id, id, copies, term, w, rest, first of every distinct sentence with a token in a text of several.
 
-    ``id`` is the sentence's first place; ``w`` its weight of unit length, with
-    the idf of the document's sentence list; ``rest`` the squared length from
-    the term on, rare terms first; ``rows`` the sentences that hold the term;
-    ``first`` marks a sentence's first term.
+    Terms that other sentences hold too, and each sentence's first term (flag
+    ``first``). ``id`` is the sentence's first place; ``w`` its weight of unit
+    length, with the idf of the document's sentence list; ``rest`` the squared
+    length from the term on, rare terms first, null for a term that is in no
+    other sentence or has less than the square of ``least`` left.
     """
+    chars = F.coalesce(F.char_length("text"), F.lit(0))
+    usual = docs.filter(chars <= LONG_CHARS).repartition("doc_id")
+    return _weighed(usual, least).unionByName(_weighed(docs.filter(chars > LONG_CHARS), least))
+
+
+def _weighed(docs: DataFrame, least: float) -> DataFrame:
     split = docs.select("doc_id", T.sentences(F.col("text")).alias("_s")).select("doc_id", F.size("_s").alias("n"), "_s")
     sents = explode_whole(split, ["doc_id", "n"], F.posexplode_outer("_s").alias("sent_idx", "text"), "text")
     distinct = sents.filter(F.col("n") > 1).groupBy("doc_id", "text").agg(
@@ -49,15 +59,16 @@ def sentence_terms(docs: DataFrame) -> DataFrame:
     square = F.col("raw") * F.col("raw")
     raw = raw.withColumn("all", F.sum(square).over(sentence)).withColumn("before", F.sum(square).over(earlier))
     rest = F.lit(1.0) - F.coalesce("before", F.lit(0.0)) / F.col("all")
-    return raw.select(
-        "doc_id", "id", "copies", "term", (F.col("raw") / F.sqrt("all")).alias("w"), rest.alias("rest"), "rows", F.col("before").isNull().alias("first")
-    )
+    shared = F.col("rows") > 1
+    weighed = raw.withColumn("rest", rest).withColumn("first", F.col("before").isNull()).filter(shared | F.col("first"))
+    leading = F.when(shared & (F.col("rest") >= least * least - SLACK), F.col("rest"))
+    return weighed.select("doc_id", "id", "copies", "term", (F.col("raw") / F.sqrt("all")).alias("w"), leading.alias("rest"), "first")
 
 
 def candidate_pairs(terms: DataFrame, least: float) -> DataFrame:
     """doc_id, a, b (a < b): all pairs of sentences whose product may reach ``least``."""
     left_over = F.sqrt(F.greatest(F.col("rest") - F.col("w") * F.col("w"), F.lit(0.0)))
-    leading = terms.filter((F.col("rows") > 1) & (F.col("rest") >= least * least - SLACK))
+    leading = terms.filter(F.col("rest") >= least * least - SLACK)
     a = leading.select("doc_id", "term", F.col("id").alias("a"), F.col("w").alias("wa"), left_over.alias("la"))
     b = leading.select("doc_id", "term", F.col("id").alias("b"), F.col("w").alias("wb"), left_over.alias("lb"))
     bound = F.col("wa") * F.col("wb") + F.col("la") * F.col("lb") >= least - SLACK
@@ -85,7 +96,7 @@ def repeated_sentences(docs: DataFrame, above: float) -> DataFrame:
     The same counts as from ``self_repetition``. Texts of one sentence or
     without a token are absent. Each id stands once.
     """
-    terms = materialize(sentence_terms(docs), "sentterms")
+    terms = materialize(sentence_terms(docs, above / 100), "sentterms")
     found = similar_sentences(terms, above).withColumn("hit", F.lit(True))
     sents = terms.filter("first").select("doc_id", "id", "copies").join(found, ["doc_id", "id"], "left")
     counted = F.when((F.col("copies") > 1) | F.col("hit"), F.col("copies")).otherwise(0)
