@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import brute
 from copytrace.operators import index as I
 from copytrace.operators import reuse as R
+from copytrace.operators import vectorize as V
 from copytrace.operators.rerank import rerank_lexical, rerank_model
 from copytrace.session import new_path
 
@@ -207,3 +208,28 @@ def test_sentences_of_hot_terms_only(spark):
         v = brute.vector(r["text"], idf, 2)
         want = brute.best([(key, brute.dot(v, w)) for key, w in vectors], 4)
         assert sorted(found[r["query_id"]]) == [(n + 1, key, round(x, 9)) for n, (key, x) in enumerate(want)]
+
+
+def test_index_in_many_parts(spark, monkeypatch):
+    """Terms looked up part by part give the same tables as one part, also with long texts and copies across parts."""
+    rows = random_corpus(9, 40)
+    one = I.build_index(docs(spark, rows), hot_documents=3, hot_rows=3)
+    monkeypatch.setattr(V, "PART_CHARS", 150)
+    monkeypatch.setattr(V, "LONG_CHARS", 50)
+    many = I.build_index(docs(spark, rows), hot_documents=3, hot_rows=3)
+    assert V.parts_for(many.documents)[0] > 10 and V.parts_for(many.documents)[1]
+
+    def content(df):
+        return sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+
+    for name in ("vocabulary", "document_weights", "sentence_weights"):
+        assert content(one.tables()[name]) == content(many.tables()[name])
+
+
+def test_postings_stay_where_they_lie(spark):
+    """Between the texts and the weights only the texts and the distinct terms of the parts are dealt out."""
+    texts = spark.createDataFrame([(0, False, 1, 1, OWL)], "part int, sent boolean, bid long, copies long, text string")
+    post = V.postings(texts.repartitionById(3, F.col("part")), ["part", "sent", "bid", "copies"])
+    terms = spark.createDataFrame([(0, "owls", 1)], "part int, term string, df long")
+    plan = V.attach_by_part(post, terms, 3, False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2  # one of the texts, one of the terms
