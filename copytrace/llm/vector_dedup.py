@@ -45,9 +45,9 @@ from copytrace.session import materialize
 
 THRESHOLD = 0.9
 BLOCK_DIMS = 16
-CELL = 8192  # vectors of a cell, as far as the pivots can tell cells apart
+CELL = 32768  # vectors of a cell, as far as the pivots can tell cells apart
 MOST_PIVOTS = 1024
-CHUNK = 8192
+CHUNK = 32768  # every row of a cell is sent once for each chunk that it meets
 _SLACK = 1e-6
 _ROUGH = 1e-4  # error of single-precision block distances at most
 
@@ -152,7 +152,9 @@ def near_links(classes: DataFrame, dims: int, threshold: float = THRESHOLD) -> D
                 out["guest"] = np.concatenate((np.zeros(len(batch), bool), np.ones(len(guest), bool)))
                 yield out
 
-    fields = "cid long, n long, v array<double>, block int, cell long, guest boolean"
+    # Vectors travel in the type they were given in: single precision is half the size and loses nothing.
+    vector = classes.schema["v"].dataType.simpleString()
+    fields = f"cid long, n long, v {vector}, block int, cell long, guest boolean"
     slim = materialize(classes.select("cid", F.lit(0).cast("long").alias("n"), "v").mapInPandas(_without_vectors(deal), "cid long, block int, cell long, guest boolean"), "cell-rows")
     sizes = slim.groupBy("block", "cell").agg(F.sum((~F.col("guest")).cast("long")).alias("own"), F.sum(F.col("guest").cast("long")).alias("visiting"))
     chunks = sizes.select("block", "cell", F.greatest(F.ceil(F.col("own") / CHUNK), F.lit(1)).cast("long").alias("own"), F.ceil(F.col("visiting") / CHUNK).cast("long").alias("visiting"))
@@ -205,7 +207,10 @@ def _without_vectors(deal):
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component) of every row."""
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    used = materialize(vectors_of(table, id_col, vector_col), "vectors")
+    used = vectors_of(table, id_col, vector_col)
+    if table.schema[vector_col].dataType.simpleString() == "array<float>":
+        used = used.select("id", F.col("v").cast("array<float>").alias("v"))
+    used = materialize(used, "vectors")
     classes = used.groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes.select("v", "least", "n", F.monotonically_increasing_id().alias("cid")), "classes")
     head = classes.select(F.size("v").alias("dims")).first()

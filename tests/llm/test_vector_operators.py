@@ -148,3 +148,10 @@ def test_best_bin_first_visits_every_leaf_once():
     tree = ann.fit_tree(sample, 16)
     walked = list(tree.walk(sample[0], tree.stacked()))
     assert len(walked) == len(set(walked)) == tree.leaves() and set(tree.assign(sample)) <= set(walked)
+
+
+def test_vectors_travel_in_the_type_they_were_given(spark, monkeypatch):
+    written, write = {}, vector_dedup.materialize
+    monkeypatch.setattr(vector_dedup, "materialize", lambda df, name: written.setdefault(name, df) and write(df, name))
+    vector_dedup.near_duplicates(spark.createDataFrame(vectors(30, 8, 4), SCHEMA)).collect()
+    assert written["classes"].schema["v"].dataType.simpleString() == "array<float>"
