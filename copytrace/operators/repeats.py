@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from copytrace.functions import text as T
 from copytrace.functions.numeric import percent
-from copytrace.operators.vectorize import explode_whole, postings, smoothed_idf
+from copytrace.operators.vectorize import explode_whole, parts_for, postings, smoothed_idf
 from copytrace.session import materialize
 
 # Bounds are loosened by this much for rounding; scores are not.
@@ -39,7 +39,9 @@ def sentence_terms(docs: DataFrame, least: float = 0.0) -> DataFrame:
     other sentence or has less than the square of ``least`` left.
     """
     chars = F.coalesce(F.char_length("text"), F.lit(0))
-    usual = docs.filter(chars <= LONG_CHARS).repartition("doc_id")
+    # A given number of parts, so that a part and what is made of its texts stay small at every size.
+    usual = docs.filter(chars <= LONG_CHARS)
+    usual = usual.repartition(parts_for(usual)[0], "doc_id")
     return _weighed(usual, least).unionByName(_weighed(docs.filter(chars > LONG_CHARS), least))
 
 
