@@ -93,6 +93,7 @@ def _open(path: str):
 
 def read_block(source, start: int, stop: int, length: int, reach: int = REACH) -> bytes:
     """The bytes of ``source`` between the cuts at ``start`` and ``stop``; all blocks together are the file."""
+    reach = max(reach, 3)  # what may follow a character's first byte
 
     def cut(at: int) -> int:
         if at <= 0 or at >= length:
