@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import brute
 from copytrace.operators import index as I
+from copytrace.operators import matching as M
 from copytrace.operators import reuse as R
 from copytrace.operators import vectorize as V
 from copytrace.operators.rerank import rerank_lexical, rerank_model
@@ -233,3 +234,19 @@ def test_postings_stay_where_they_lie(spark):
     terms = spark.createDataFrame([(0, "owls", 1)], "part int, term string, df long")
     plan = V.attach_by_part(post, terms, 3, False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2  # one of the texts, one of the terms
+
+
+def test_asked_terms_only_and_whole_documents_move(spark, monkeypatch):
+    """Hot postings of terms that no left row has stay where they lie; sentences are not dealt out beside their documents."""
+    left = spark.createDataFrame([("q", "a", 0.6, True, 1.0), ("q", "b", 0.8, True, 1.0)], "aid string, term string, w double, hot boolean, hot_norm double")
+    right = [(i, t, 0.5, True, 1.0) for i in range(50) for t in ("a", "c", "d", "e")]
+    right = M.materialize(spark.createDataFrame(right, "bid long, term string, w double, hot boolean, hot_norm double"), "right")
+    found = M.top_matches(left, right, 3, F.col("bid"))
+    assert [(r["bid"], round(r["score"], 9), r["rank"]) for r in found.orderBy("rank").collect()] == [(0, 0.3, 1), (1, 0.3, 2), (2, 0.3, 3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= plan.count("Relation [bid") > 0  # every read of the right side is restricted
+    dealt = []
+    monkeypatch.setattr(I, "postings", lambda df, *args, **named: dealt.append(df) or V.postings(df, *args, **named))
+    I.build_index(docs(spark, [(0, OWL)]))
+    plan = dealt[0]._jdf.queryExecution().executedPlan().toString()
+    assert "sentences-" not in plan
