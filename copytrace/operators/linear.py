@@ -16,11 +16,12 @@ On the driver lie vectors of one number a labelled row, at most ``max_rows``
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from copytrace.operators.vectorize import attach_vocabulary, document_frequency,
 from copytrace.session import materialize
 
 MEMORY = 10
+# Numbers of a vector that lie on one row of a table.
+BLOCK = 1 << 14
 
 
 @dataclass
@@ -89,38 +92,64 @@ class Kernel:
 
     def __init__(self, weights: DataFrame, n: int):
         self.spark, self.n = weights.sparkSession, n
-        self.diagonal = self._vector(weights.groupBy(F.col("id").alias("row")).agg(F.max(F.col("hot_norm") * F.col("hot_norm")).alias("v")))
+        squares = weights.groupBy(F.col("id").alias("row")).agg(F.max(F.col("hot_norm") * F.col("hot_norm")).alias("v")).toArrow()
+        self.diagonal = np.zeros(n)
+        self.diagonal[squares["row"].to_numpy()] = squares["v"].to_numpy()
         # A term is in at most n rows, which are bounded.
         entry = F.struct(F.col("id").cast("int").alias("row"), F.col("w").alias("x"))
         lists = weights.where("NOT hot").groupBy("term").agg(F.collect_list(entry).alias("of"))
         cores = self.spark.sparkContext.defaultParallelism
-        self.lists = materialize(lists.select(F.col("of.row").alias("rows"), F.col("of.x").alias("xs")).repartition(cores), "fit-matrix")
+        lists = lists.select(F.col("of.row").alias("rows"), F.col("of.x").alias("xs")).repartition(cores)
+        # Every product reads all of it, so executors keep it; what one of them loses is read from the files again.
+        self.matrix = materialize(lists.mapInArrow(_packed, "lengths binary, rows binary, xs binary"), "fit-matrix").persist()
 
-    def _vector(self, sums: DataFrame) -> np.ndarray:
-        """(row, v) as an array of ``n`` numbers."""
-        found = sums.toArrow()
-        out = np.zeros(self.n)
-        out[found["row"].to_numpy()] = found["v"].to_numpy()
-        return out
-
-    def __call__(self, vector: np.ndarray) -> np.ndarray:
-        n, shipped = self.n, self.spark.sparkContext.broadcast(vector)
+    def sums(self, shipped: Broadcast[np.ndarray]) -> DataFrame:
+        """(block, v): the product without the diagonal, ``BLOCK`` numbers of 8 bytes a row."""
+        n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v, out = shipped.value, np.zeros(n)
             for batch in batches:
-                rows, xs = (batch.column(c).flatten().to_numpy() for c in ("rows", "xs"))
-                length = batch.column("rows").value_lengths().to_numpy()
-                if not len(rows):
-                    continue
-                sums = np.add.reduceat(xs * v[rows], np.cumsum(length) - length)
-                out += np.bincount(rows, xs * np.repeat(sums, length), n)
-            at = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], ["row", "v"])
-
-        found = self._vector(self.lists.mapInArrow(run, "row int, v double").groupBy("row").agg(F.sum("v").alias("v")))
+                for lengths, rows, xs in zip(*(batch.column(c) for c in ("lengths", "rows", "xs"))):
+                    length, at, x = np.frombuffer(lengths.as_buffer(), np.int32), np.frombuffer(rows.as_buffer(), np.int32), np.frombuffer(xs.as_buffer())
+                    of_term = np.add.reduceat(x * v[at], np.cumsum(length) - length)
+                    out += np.bincount(at, x * np.repeat(of_term, length), n)
+            yield from _blocks((b, out[b * BLOCK : (b + 1) * BLOCK]) for b in range(-(-n // BLOCK)))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for block, v in zip(batch.column("block").to_pylist(), batch.column("v")):
+                    part = np.frombuffer(v.as_buffer())
+                    found[block] = found[block] + part if block in found else part
+            yield from _blocks(found.items())
+
+        # At most as many numbers as there are rows, which are bounded, from each task.
+        parts = self.matrix.mapInArrow(run, "block int, v binary").repartition(F.col("block"))
+        return parts.mapInArrow(add, "block int, v binary")
+
+    def __call__(self, vector: np.ndarray) -> np.ndarray:
+        shipped, out = self.spark.sparkContext.broadcast(vector), np.zeros(self.n)
+        found = self.sums(shipped).toArrow()
         shipped.destroy()
-        return found + self.diagonal * vector
+        for block, v in zip(found["block"].to_pylist(), found["v"]):
+            out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(v.as_buffer())
+        return out + self.diagonal * vector
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of terms as bytes, those of one batch on a row: numbers of whole batches are read at once, not one by one."""
+    for batch in batches:
+        rows, xs = batch.column("rows"), batch.column("xs")
+        if batch.num_rows:
+            length = rows.value_lengths().to_numpy().astype(np.int32)
+            row = [length.tobytes(), rows.flatten().to_numpy().astype(np.int32).tobytes(), xs.flatten().to_numpy().tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], ["lengths", "rows", "xs"])
+
+
+def _blocks(found: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for block, v in found:
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["block", "v"])
 
 
 def minimise(kernel: Callable, y: np.ndarray, weight: np.ndarray, penalty: float, tol: float, max_iter: int) -> tuple[np.ndarray, float, float]:
@@ -210,7 +239,11 @@ def fit_terms(rows: DataFrame, max_df: float = 0.95, c: float = 1.0, max_iter: i
     vocab, weights = term_features(rows, n, max_df)
     order = np.argsort(known["id"].to_numpy())
     y, weight = (known[k].to_numpy()[order] for k in ("target", "weight"))
-    coefficients, intercept, norm = minimise(Kernel(weights, n), y, weight, 1.0 / c, tol, max_iter) if n else (np.zeros(0), 0.0, 0.0)
+    coefficients, intercept, norm = np.zeros(0), 0.0, 0.0
+    if n:
+        kernel = Kernel(weights, n)
+        coefficients, intercept, norm = minimise(kernel, y, weight, 1.0 / c, tol, max_iter)
+        kernel.matrix.unpersist()
     table = pa.table({"id": np.arange(n), "a": coefficients})
     shares = rows.sparkSession.createDataFrame(table) if n else rows.select("id", F.lit(0.0).alias("a"))
     # One number for each row, at most max_rows of them: bounded.

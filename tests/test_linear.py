@@ -95,3 +95,19 @@ def test_minimiser_on_a_known_kernel():
     w = x.T @ a
     r = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
     assert norm <= 1e-9 and np.abs(x.T @ r + w).max() < 1e-8 and abs(r.sum()) < 1e-8
+
+
+def test_products_come_in_blocks(spark, monkeypatch):
+    """X X'v is summed up on the executors in blocks of packed numbers and equals the dense product."""
+    given = rows(spark, 45)
+    monkeypatch.setattr(linear, "BLOCK", 16)
+    numbers = linear.numbered(given.select("text"), "id", "rows")
+    _, weights = linear.term_features(numbers, 45, 0.95)
+    x = np.zeros((45, 1000))
+    known = weights.collect()
+    place = {t: i for i, t in enumerate(sorted({r["term"] for r in known}))}
+    for r in known:
+        x[r["id"], place[r["term"]]] = r["w"]
+    kernel, v = linear.Kernel(weights, 45), np.random.default_rng(2).normal(size=45)
+    assert sorted((r["block"], len(r["v"])) for r in kernel.sums(spark.sparkContext.broadcast(v)).collect()) == [(0, 128), (1, 128), (2, 104)]
+    assert np.abs(kernel(v) - x @ (x.T @ v)).max() < 1e-9
