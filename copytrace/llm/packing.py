@@ -13,9 +13,10 @@ The stream is worked off in blocks of ``BLOCK`` tokens; what follows a block's
 best last cut waits for the next block, so memory is bounded by a block and the
 longest document.
 
-Encoding: no token of the word BPE crosses a space, so texts are split there
-by Arrow, only the distinct pieces of a batch are looked up in a bounded cache
-or encoded, and each text's ids are gathered from them by numpy.
+Encoding: no token of the word BPE crosses white space or the border of a run of
+letters or punctuation (but after an apostrophe), so texts are cut there by kinds
+of bytes, Arrow numbers the distinct words of a slice, only those are looked up in
+a bounded cache or encoded, and numpy gathers each text's ids from them.
 
 Defined cases: a null or empty text is its end token alone; equal rows and
 rows sharing an id are packed one by one; an empty table gives an empty
@@ -28,6 +29,8 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import repeat
+from string import ascii_letters, ascii_lowercase, ascii_uppercase, digits
 from unicodedata import normalize
 
 import numpy as np
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copytrace.llm.common import documents, spread, text_of
-from copytrace.llm.pieces import PieceCache, by_size, cut
+from copytrace.llm.pieces import BATCH_BYTES, CACHE_ENTRIES, CACHE_PIECE, CLOSING, PieceCache, by_size, gathered
 
 WIDTH = 2048
 BLOCK = 1 << 18
@@ -51,11 +54,77 @@ VOCABULARY = "word_bpe_49k.json"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+# Kinds of bytes: letters (of ASCII and Latin-1), digits, marks (ASCII punctuation but the apostrophe), white space.
+KINDS = OTHER, LETTER, DIGIT, MARK, APOSTROPHE, SPACE = range(6)
+_CHARS = {LETTER: ascii_letters, DIGIT: digits, MARK: CLOSING, APOSTROPHE: "'", SPACE: " \t\n\r"}
+KIND = bytes(next((kind for kind, chars in _CHARS.items() if chr(i) in chars), OTHER) for i in range(256))
+LOWER = bytes.maketrans(ascii_uppercase.encode(), ascii_lowercase.encode())
+# Neighbours (6 * kind + kind) between which a word starts: not in a run of letters or of punctuation, nor after an apostrophe (``'s``).
+_STARTS = {6 * SPACE + b for b in KINDS if b != SPACE} | {6 * a + b for a in KINDS for b in KINDS if DIGIT in (a, b) and not {OTHER, SPACE} & {a, b}}
+_STARTS |= {6 * LETTER + MARK, 6 * LETTER + APOSTROPHE, 6 * MARK + LETTER}
+_STARTS = bytes(i in _STARTS for i in range(256))
+# Lower-case letters of ASCII and Latin-1.
+PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+
+
+def strings(words: pa.Array) -> list[str]:
+    """The words as a list; none holds a space."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(whole, " ")[0].as_py().split(" ") if len(words) else []
+
+
+def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts (no nulls) where the tokenizer's pattern always cuts, without white space, and the bounds of each text's.
+
+    The tokenizer ignores the case of letters, so ASCII and Latin-1 letters become lower-case where no combining mark can
+    follow. Special strings are kept: a text with ``<|`` is cut at white space only.
+    """
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    kind = np.frombuffer(bytearray(data).translate(KIND), np.uint8)
+    lower = np.frombuffer(bytearray(data).translate(LOWER), np.uint8)
+    lead = np.flatnonzero(data == 0xC3)  # of Latin-1's letters, the multiplication and the division sign
+    second = data[lead + 1]
+    lower[lead[(second <= 0x9E) & (second != 0x97)] + 1] += 32
+    lead = lead[(second != 0x97) & (second != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+    if special.any():
+        kind[np.repeat(special, np.diff(ends)) & (kind != SPACE)] = OTHER
+    kept = kind == OTHER
+    kept[:-1] |= kept[1:]
+    np.copyto(lower, data, where=kept)
+    between = np.append(np.uint8(SPACE), kind[:-1]) if len(kind) else kind.copy()
+    between[ends[:-1][ends[1:] > ends[:-1]]] = SPACE
+    between *= 6
+    between += kind
+    starts = np.frombuffer(bytearray(between).translate(_STARTS), bool)
+    solid = kind != SPACE
+    at = np.append(np.flatnonzero(starts[solid]), np.count_nonzero(solid)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(lower[solid]))
+    return words, np.searchsorted(np.flatnonzero(starts), ends)
+
+
 class WordIds(PieceCache):
-    """Ids of whole texts as little-endian 32-bit numbers."""
+    """Ids of whole texts as little-endian 32-bit numbers.
+
+    Known word i has the ids ``flat[bounds[i] : bounds[i + 1]]``; ``number`` has the i of each.
+    """
 
     between = " "
 
+    def __init__(self, path: str):
+        super().__init__(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        # For words that the normalizer leaves as they are and the pattern takes as one.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.number: dict[str, int] = {}
+        self.flat, self.bounds = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
     def value(self, ids: list[int]) -> bytes:
         return array("I", ids).tobytes()
 
@@ -74,11 +143,65 @@ class WordIds(PieceCache):
     def split(self, ids: np.ndarray) -> np.ndarray:
         return np.concatenate(([0], np.flatnonzero(self.marked[ids]) + 1))
 
+    def _encode_plain(self, words: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of plain words, and their amounts, by batches."""
+        ids, many = [], []
+        size = np.cumsum(pc.binary_length(words).to_numpy())
+        ends = np.unique(np.append(np.searchsorted(size, np.arange(BATCH_BYTES, size[-1], BATCH_BYTES)), len(words)))
+        for low, high in zip([0, *ends], ends):
+            (found,) = self.plain.encode_batch_fast([" ".join(strings(words.slice(low, high - low)))], add_special_tokens=False)
+            ids.append(np.array(found.ids, "<u4"))
+            many.append(np.diff(self.split(ids[-1])))
+            if len(many[-1]) != high - low:  # a vocabulary without some of the letters
+                return self._encode_others(strings(words))
+        return ids, many
+
+    def _encode_others(self, pieces: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        self.known = {}
+        self.learn(set(pieces))
+        raw = [self.known[p] for p in pieces]
+        return [np.frombuffer(b"".join(raw), "<u4")], [np.fromiter(map(len, raw), np.int64, len(raw)) // 4]
+
+    def numbers(self, entries: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, their bounds, and which of them the (distinct) entries are.
+
+        Long entries are forgotten again; when too many are known, only those of the latest call stay.
+        """
+        words = strings(entries)
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0)
+        given = entries.take(pa.array(unknown))
+        plain = pc.match_substring_regex(given, PLAIN).to_numpy(zero_copy_only=False)
+        long = pc.greater(pc.utf8_length(given), CACHE_PIECE).to_numpy(zero_copy_only=False)
+        ids, many, order = [self.flat], [np.diff(self.bounds)], []
+        # The long ones come last, to be cut off again.
+        for group in (plain & ~long, ~plain & ~long, plain & long, ~plain & long):
+            if not group.any():
+                continue
+            chosen = unknown[group]
+            take = self._encode_plain(entries.take(pa.array(chosen))) if plain[group][0] else self._encode_others([words[i] for i in chosen])
+            ids, many = ids + take[0], many + take[1]
+            order.append(chosen)
+        if not order:
+            return self.flat, self.bounds, at
+        fresh, kept = np.concatenate(order), len(unknown) - int(long.sum())
+        at[fresh] = len(self.number) + np.arange(len(fresh))
+        flat, bounds = np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate(many))))
+        self.number.update((words[i], n) for i, n in zip(fresh[:kept].tolist(), at[fresh[:kept]].tolist()))
+        self.bounds = bounds[: len(self.number) + 1]
+        self.flat = flat[: self.bounds[-1]]
+        if len(self.number) > CACHE_ENTRIES:
+            stay = np.setdiff1d(np.arange(len(words)), fresh[kept:])
+            self.number = {words[i]: n for n, i in enumerate(stay.tolist())}
+            self.flat, self.bounds = gathered(self.flat, self.bounds, at[stay])
+        return flat, bounds, at
+
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
-        """The tokenizer ignores the case of letters, but not that of special strings."""
-        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
-        pieces = cut(pc.replace_substring(texts, "\n", " "))
-        return pieces.joined(self.find(pieces.entries))
+        words, bounds = cut_words(texts)
+        found = words.dictionary_encode()
+        flat, ends, at = self.numbers(found.dictionary)
+        ids, running = gathered(flat, ends, at[found.indices.to_numpy()])
+        return np.split(ids, running[bounds[1:-1]])
 
     def ending(self) -> np.ndarray:
         """Ids of the tokens that end a sentence."""
@@ -105,22 +228,21 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, final: bool, width: int = WID
     """Cuts of least cost, from 0; the last one is the stream's end only if ``final``.
 
     cost(j) = penalty(j) + width - at(j) + min over reachable i of (cost(i) + at(i)).
-    The queue holds places whose cost(i) + at(i) increases: its head is the minimum.
+    The queue holds places whose key(i) = cost(i) + at(i) increases: its head is the minimum.
     """
-    place, fine = at.tolist(), penalty.tolist()
-    cost, back = [0.0] * len(place), [0] * len(place)
-    queue = deque([(0.0, 0, 0)])  # cost + at, at, index
+    place, fine = at.tolist(), (penalty + width).tolist()
+    key, back = [0.0] * len(place), [0] * len(place)
+    queue = deque([0])
     for j in range(1, len(place)):
-        here = place[j]
-        while queue[0][1] < here - width:
+        reach = place[j] - width
+        while place[queue[0]] < reach:
             queue.popleft()
-        key, _, i = queue[0]
-        c = cost[j] = fine[j] + width - here + key
-        back[j] = i
-        key = c + here
-        while queue and queue[-1][0] >= key:
+        back[j] = i = queue[0]
+        key[j] = k = fine[j] + key[i]
+        while queue and key[queue[-1]] >= k:
             queue.pop()
-        queue.append((key, here, j))
+        queue.append(j)
+    cost = (np.array(key) - at).tolist()
     end = len(place) - 1
     first = int(np.searchsorted(at, place[end] - width))
     tail: list[int] = []

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from helpers import docs
 
@@ -115,3 +116,51 @@ def test_blocks_join_up():
 
 def test_empty_table(spark):
     assert packing.pack(docs(spark, [])).count() == 0
+
+
+def test_words_are_cut_where_the_pattern_cuts():
+    texts = ["Été,l'été.  X12!?\n", "", "a <|endoftext|>,B\tc", "H\u0331,I"]
+    words, bounds = packing.cut_words(pa.array(["left out", *texts]).slice(1))
+    found = [words[a:b].to_pylist() for a, b in zip(bounds, bounds[1:])]
+    # Capitals before a combining mark stay: the library composes before it lowers.
+    assert found == [["été", ",", "l", "'été", ".", "x", "1", "2", "!?"], [], ["a", "<|endoftext|>,B", "c"], ["H\u0331,", "i"]]
+
+
+# With few known words they are forgotten between the slices.
+@pytest.mark.parametrize("known", [5, 300, 300_000])
+def test_ids_of_any_characters(known, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", known)
+    library = Tokenizer.from_file(public.path(packing.VOCABULARY))
+    words = packing.WordIds(public.path(packing.VOCABULARY))
+    rng = random.Random(known)
+    parts = [*"abHTWYJzé ÉßÿŸ×÷ØİıŁΣςЖ中ªµ½', .<>=!|&%-_0129  \n\t\r\x0b\x1c\x85\xa0\u0331\u0308\u030a\u030c\u0338\u0327🙂＜\u212a\u1fef\u037eक़각"]
+    parts += ["'s", "'T", "'re", "'LL", "the", "and", "...", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "x" * 70, "É" * 40, "Ж" * 70]
+    for _ in range(8):
+        texts = ["".join(rng.choices(parts, k=rng.choice([0, 1, 2, 3, 8, 30, 200]))) for _ in range(300)]
+        found = [x.tolist() for x in words.ids(pa.array(texts))]
+        assert found == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert len(words.number) == len(words.bounds) - 1 and words.bounds[-1] == len(words.flat)
+        assert max(map(len, words.number)) <= packing.CACHE_PIECE
+
+
+def test_capital_with_a_combining_mark():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public.path(packing.VOCABULARY))
+    words = packing.WordIds.shared(public.path(packing.VOCABULARY))
+    for text in ["H\u0331x", "T\u0308", "W\u030a", "Y\u030a", "J\u030c", "h\u0331", "E\u0301"]:
+        assert words.ids(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_word_is_encoded_once():
+    """Whatever its case and the punctuation around it, also when it comes again in a later batch."""
+    words = packing.WordIds(public.path(packing.VOCABULARY))
+    encoded = []
+    plain, others = words._encode_plain, words._encode_others
+    words._encode_plain = lambda w: encoded.extend(w.to_pylist()) or plain(w)
+    words._encode_others = lambda p: encoded.extend(p) or others(p)
+    words.ids(pa.array(["Énergie energy, ENERGY. (energy) énergie!!!", "energy|energy"]))
+    words.ids(pa.array(["ÉNERGIE; Energy7"]))
+    assert sorted(encoded) == sorted(["énergie", "energy", ",", ".", "(", ")", "!!!", "|", ";", "7"])
