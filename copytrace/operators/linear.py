@@ -1,6 +1,6 @@
 """Balanced L2 logistic regression over all terms, with its parameters in a table.
 
-The terms of a text corpus have no bound, the labelled rows do. The penalised
+The terms of a text corpus have no bound. The penalised
 optimum is a combination of the rows (w = X'a), and so is every iterate of
 L-BFGS that starts at zero: gradients, steps and their inner products can be
 kept as one number a row, and only X X'v has to be worked out for a new vector
@@ -9,8 +9,8 @@ term's sum over its rows, and back to the rows. Terms of one row only add to
 the diagonal and are summed once. Nothing of vocabulary length is ever on the
 driver; the weights come out as a table (term, df, idf, weight).
 
-On the driver lie vectors of one number a labelled row, at most ``max_rows``
-(8 MB a vector at a million rows, ``MEMORY`` pairs of steps and gradients).
+All labelled rows are read. Vectors of one number a row lie on the driver (8 MB
+a vector at a million rows, ``MEMORY`` pairs of steps and gradients).
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ class Kernel:
         squares = weights.groupBy(F.col("id").alias("row")).agg(F.max(F.col("hot_norm") * F.col("hot_norm")).alias("v")).toArrow()
         self.diagonal = np.zeros(n)
         self.diagonal[squares["row"].to_numpy()] = squares["v"].to_numpy()
-        # A term is in at most n rows, which are bounded.
+        # A term is in at most n rows: 12 bytes each.
         entry = F.struct(F.col("id").cast("int").alias("row"), F.col("w").alias("x"))
         lists = weights.where("NOT hot").groupBy("term").agg(F.collect_list(entry).alias("of"))
         cores = self.spark.sparkContext.defaultParallelism
@@ -124,7 +124,7 @@ class Kernel:
                     found[block] = found[block] + part if block in found else part
             yield from _blocks(found.items())
 
-        # At most as many numbers as there are rows, which are bounded, from each task.
+        # At most as many numbers as there are rows from each task.
         parts = self.matrix.mapInArrow(run, "block int, v binary").repartition(F.col("block"))
         return parts.mapInArrow(add, "block int, v binary")
 
@@ -246,6 +246,6 @@ def fit_terms(rows: DataFrame, max_df: float = 0.95, c: float = 1.0, max_iter: i
         kernel.matrix.unpersist()
     table = pa.table({"id": np.arange(n), "a": coefficients})
     shares = rows.sparkSession.createDataFrame(table) if n else rows.select("id", F.lit(0.0).alias("a"))
-    # One number for each row, at most max_rows of them: bounded.
+    # One number for each row.
     summed = weights.join(F.broadcast(shares), "id").groupBy("term").agg(F.sum(F.col("w") * F.col("a")).alias("weight"))
     return TermModel(materialize(vocab.join(summed, "term"), "fit-weights"), intercept, norm)

@@ -26,10 +26,6 @@ from copytrace.operators.vectorize import attach_vocabulary, postings
 from copytrace.session import materialize
 from copytrace.sources.tables import spread
 
-# Labelled rows read for a fit at most: the vectors on the driver have one number a row.
-# Features are exact terms at every size.
-MAX_ROWS = 1_000_000
-
 
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """``df`` plus ``weight`` = n / (classes * n_class)."""
@@ -67,22 +63,21 @@ def fit_features(train: DataFrame, max_df: float = 0.95) -> PipelineModel:
     return PipelineModel(stages=[*tokenized.stages, counter, weigh, unit, drop])
 
 
-def bounded_rows(labelled: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """All rows, or about ``max_rows`` of them chosen by a hash of row_id."""
+def bounded_rows(labelled: DataFrame, max_rows: int) -> DataFrame:
+    """All rows, or about ``max_rows`` of them chosen by a hash of row_id: for callers that want fewer, no fit here cuts its rows."""
     n = labelled.count()
     if n <= max_rows:
         return labelled
     return labelled.filter(F.pmod(F.xxhash64(F.lit("fit"), "row_id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
 
 
-def train_classifier(labelled: DataFrame, max_df: float = 0.95, c: float = 1.0, max_iter: int = 1000, max_rows: int = MAX_ROWS) -> PipelineModel:
-    """Balanced L2 logistic regression on TF-IDF; ``labelled(row_id, text, label)``.
+def train_classifier(labelled: DataFrame, max_df: float = 0.95, c: float = 1.0, max_iter: int = 1000) -> PipelineModel:
+    """Balanced L2 logistic regression on TF-IDF of all rows; ``labelled(row_id, text, label)``.
 
     Class 1 is ``ai``. The penalty is 1 / (c n) because Spark averages the loss.
-    At most about ``max_rows`` labelled rows are read.
     """
     target = (F.col("label") == "ai").cast("double")
-    rows = balanced_weights(bounded_rows(labelled, max_rows)).withColumn("target", target)
+    rows = balanced_weights(labelled).withColumn("target", target)
     rows = spread(materialize(rows, "train"), "row_id")
     features = fit_features(rows, max_df)
     n = max(1, rows.count())
@@ -102,13 +97,10 @@ def train_classifier(labelled: DataFrame, max_df: float = 0.95, c: float = 1.0,
     return PipelineModel(stages=[*features.stages, model])
 
 
-def fit_classifier(labelled: DataFrame, max_df: float = 0.95, c: float = 1.0, max_iter: int = 1000, max_rows: int = MAX_ROWS) -> TermModel:
-    """Balanced L2 logistic regression on TF-IDF; ``labelled(row_id, text, label)``, class 1 is ``ai``.
-
-    At most about ``max_rows`` labelled rows are read.
-    """
+def fit_classifier(labelled: DataFrame, max_df: float = 0.95, c: float = 1.0, max_iter: int = 1000) -> TermModel:
+    """Balanced L2 logistic regression on TF-IDF of all rows; ``labelled(row_id, text, label)``, class 1 is ``ai``."""
     target = (F.col("label") == "ai").cast("double")
-    rows = balanced_weights(bounded_rows(labelled, max_rows)).withColumn("target", target)
+    rows = balanced_weights(labelled).withColumn("target", target)
     return fit_terms(spread(rows, "row_id"), max_df, c, max_iter)
 
 

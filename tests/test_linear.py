@@ -111,3 +111,16 @@ def test_products_come_in_blocks(spark, monkeypatch):
     kernel, v = linear.Kernel(weights, 45), np.random.default_rng(2).normal(size=45)
     assert sorted((r["block"], len(r["v"])) for r in kernel.sums(spark.sparkContext.broadcast(v)).collect()) == [(0, 128), (1, 128), (2, 104)]
     assert np.abs(kernel(v) - x @ (x.T @ v)).max() < 1e-9
+
+
+def test_a_fit_reads_all_rows(spark, monkeypatch):
+    given = rows(spark, 45)
+
+    def cut(labelled, *_):
+        raise AssertionError("rows were left out")
+
+    monkeypatch.setattr(train, "bounded_rows", cut)
+    model = train.fit_classifier(given, 1.0)
+    own = model.terms.filter(F.col("term").startswith("own") & (F.col("df") == 1)).count()
+    assert own == 45 and "max_rows" not in train.fit_classifier.__code__.co_varnames
+    train.train_classifier(given)
