@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from copytrace.operators import matching as M
 from copytrace.operators import reuse as R
 from copytrace.operators import vectorize as V
 from copytrace.operators.rerank import rerank_lexical, rerank_model
-from copytrace.session import new_path
+from copytrace.session import new_path, shared_dir
 
 OWL = "Owls hunt at night using quiet wings and sharp hearing."
 BREAD = "Bakers let sourdough rise slowly so that the crust turns crisp."
@@ -250,3 +251,15 @@ def test_asked_terms_only_and_whole_documents_move(spark, monkeypatch):
     I.build_index(docs(spark, [(0, OWL)]))
     plan = dealt[0]._jdf.queryExecution().executedPlan().toString()
     assert "sentences-" not in plan
+
+
+def test_scratch_of_an_index_and_a_search_is_gone(spark):
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+    corpus = spark.createDataFrame([(i, f"one two three. four {i} five six. one two {i % 3}.") for i in range(40)], "doc_id long, text string")
+    ix = I.build_index(corpus, hot_documents=2, hot_rows=2)
+    a = ix.document_weights.withColumnRenamed("bid", "aid")
+    assert M.top_matches(a, ix.document_weights, 3, F.col("bid")).count() == 120
+    left = {name.rpartition("-")[0] for name in set(os.listdir(folder)) - before}
+    assert "weights" in left and not left & {"partterms", "cold"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
