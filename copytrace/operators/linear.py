@@ -1,13 +1,13 @@
 """Balanced L2 logistic regression over all terms, with its parameters in a table.
 
-The terms of a text corpus have no bound. The penalised
-optimum is a combination of the rows (w = X'a), and so is every iterate of
-L-BFGS that starts at zero: gradients, steps and their inner products can be
-kept as one number a row, and only X X'v has to be worked out for a new vector
-v of that kind. That is one pass over the postings, which lie by term: each
-term's sum over its rows, and back to the rows. Terms of one row only add to
-the diagonal and are summed once. Nothing of vocabulary length is ever on the
-driver; the weights come out as a table (term, df, idf, weight).
+The terms of a text corpus have no bound. The penalised optimum is a combination
+of the rows (w = X'a), and so is every iterate of L-BFGS that starts at zero:
+gradients, steps and their inner products can be kept as one number a row, and
+only X X'v has to be worked out for a new vector v of that kind. That is one pass
+over the postings, which lie by term: each term's sum over its rows, and back to
+the rows. Terms of one row only add to the diagonal and are summed once. Nothing
+of vocabulary length is ever on the driver; the weights come out as a table
+(term, df, idf, weight).
 
 All labelled rows are read. Vectors of one number a row lie on the driver (8 MB
 a vector at a million rows, ``MEMORY`` pairs of steps and gradients).
@@ -22,17 +22,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copytrace.functions.numeric import sigmoid
 from copytrace.functions.ranking import numbered
-from copytrace.operators.vectorize import attach_vocabulary, document_frequency, normalized_weights, postings, smoothed_idf
-from copytrace.session import materialize
+from copytrace.operators.vectorize import attach_by_part, counts_by_part, part_of, parts_for, postings, smoothed_idf
+from copytrace.session import discard, materialize
 
 MEMORY = 10
 # Numbers of a vector that lie on one row of a table.
 BLOCK = 1 << 14
+# Postings of a part of the matrix, about; a term is never cut.
+PART_POSTINGS = 1 << 20
+MATRIX = "terms array<string>, idfs binary, lengths binary, rows binary, xs binary"
 
 
 @dataclass
@@ -46,7 +49,7 @@ class TermModel:
     def transform(self, df: DataFrame, text: str = "text", out: str = "ai_probability") -> DataFrame:
         """``df`` and the probability of class 1; a text without a known term has that of the intercept."""
         numbers = numbered(df.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_id", "to-score")
-        margin = margins(postings(numbers, ["_id"], "_text", 2), self.terms, ["_id"])
+        margin = margins(numbers.select("_id", F.col("_text").alias("text")), self.terms, "_id")
         joined = numbers.join(margin, "_id", "left")
         p = sigmoid(F.coalesce("margin", F.lit(0.0)) + F.lit(self.intercept))
         return joined.select("_row.*", p.alias(out))
@@ -67,41 +70,58 @@ def load_terms(spark: SparkSession, path: str) -> TermModel | None:
     return TermModel(spark.read.parquet(f"{path}/terms"), rest["intercept"], rest["gradient_norm"])
 
 
-def margins(post: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, margin): the weights' product with the unit TF-IDF row, from postings (keys, term, tf)."""
-    found = attach_vocabulary(post, terms, keys, ["idf", "weight"])
+def known_postings(rows: DataFrame, terms: DataFrame, key: str, cols: list[str]) -> tuple[DataFrame, int]:
+    """part, key, term, tf and ``cols`` of the terms in the table, for ``rows(key, text)``; and the number of parts they lie by.
+
+    Only the distinct terms of a part are moved.
+    """
+    parts, long = parts_for(rows)
+    dealt = rows.select(part_of(parts, key).alias("part"), key, "text").repartitionById(parts, F.col("part"))
+    post = postings(dealt, ["part", key], n=2)
+    asked = post.select("part", "term").distinct().join(terms.select("term", *cols), "term")
+    return attach_by_part(post, materialize(asked, "asked"), parts, long), parts
+
+
+def margins(rows: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(key, margin): the weights' product with the unit TF-IDF row of ``rows(key, text)``."""
+    found, _ = known_postings(rows, terms, key, ["idf", "weight"])
     x = F.col("tf") * F.col("idf")
-    return found.groupBy(*keys).agg((F.sum(x * F.col("weight")) / F.sqrt(F.sum(x * x))).alias("margin"))
+    return found.groupBy("part", key).agg((F.sum(x * F.col("weight")) / F.sqrt(F.sum(x * x))).alias("margin")).drop("part")
 
 
 def term_features(rows: DataFrame, n: int, max_df: float) -> tuple[DataFrame, DataFrame]:
-    """(term, df, idf) of all terms in at most ``max_df`` of the ``n`` rows, and the unit rows (id, term, w).
+    """(term, df, idf) of all terms in at most ``max_df`` of the ``n`` rows, and the unit rows (id, term, df, idf, w, hot_norm).
 
-    ``hot`` marks terms of one row only, ``hot_norm`` is the length of a row's part in them.
+    ``hot_norm`` is the length of a row's part in terms of one row only.
     """
-    post = materialize(postings(rows, ["id"], "text", 2), "fit-postings")
-    vocab = document_frequency(post).where(F.col("df") <= F.lit(max(1.0, max_df * n)))
-    vocab = materialize(vocab.withColumn("idf", smoothed_idf(n)), "fit-terms")
-    found = attach_vocabulary(post, vocab, ["id"], ["df", "idf"])
-    weights = normalized_weights(found, ["id"], F.col("df") == 1)
-    return vocab, materialize(weights, "fit-rows")
+    parts, long = parts_for(rows)
+    dealt = rows.select(part_of(parts, "id").alias("part"), "id", "text").repartitionById(parts, F.col("part"))
+    post = postings(dealt, ["part", "id"], n=2)
+    terms = counts_by_part(post, {"df": F.lit(1)}).where(F.col("df") <= F.lit(max(1.0, max_df * n)))
+    terms = materialize(terms.select("part", "term", F.col("df").cast("long").alias("df"), "first"), "fit-terms")
+    known = attach_by_part(post, terms.drop("first"), parts, long).withColumn("idf", smoothed_idf(n))
+    row, raw = Window.partitionBy("id", "part"), F.col("tf") * F.col("idf")
+    norm = F.sqrt(F.sum(raw * raw).over(row))
+    hot = F.sqrt(F.sum(F.when(F.col("df") == 1, raw * raw).otherwise(0.0)).over(row))
+    found = materialize(known.select("id", "term", "df", "idf", (raw / norm).alias("w"), (hot / norm).alias("hot_norm")), "fit-rows")
+    return terms.where("first").select("term", "df", smoothed_idf(n).alias("idf")), found
 
 
 class Kernel:
-    """X X'v for vectors v of one number a row."""
+    """X X'v for vectors v of one number a row, and X'v by term."""
 
     def __init__(self, weights: DataFrame, n: int):
         self.spark, self.n = weights.sparkSession, n
         squares = weights.groupBy(F.col("id").alias("row")).agg(F.max(F.col("hot_norm") * F.col("hot_norm")).alias("v")).toArrow()
         self.diagonal = np.zeros(n)
         self.diagonal[squares["row"].to_numpy()] = squares["v"].to_numpy()
-        # A term is in at most n rows: 12 bytes each.
-        entry = F.struct(F.col("id").cast("int").alias("row"), F.col("w").alias("x"))
-        lists = weights.where("NOT hot").groupBy("term").agg(F.collect_list(entry).alias("of"))
+        shared = weights.where("df > 1")
         cores = self.spark.sparkContext.defaultParallelism
-        lists = lists.select(F.col("of.row").alias("rows"), F.col("of.x").alias("xs")).repartition(cores)
+        parts = max(cores, -(-shared.count() // PART_POSTINGS))
+        lying = shared.select("term", "idf", F.col("id").cast("int").alias("row"), "w", part_of(parts, "term").alias("part"))
+        lying = lying.repartitionById(parts, F.col("part")).drop("part")
         # Every product reads all of it, so executors keep it; what one of them loses is read from the files again.
-        self.matrix = materialize(lists.mapInArrow(_packed, "lengths binary, rows binary, xs binary"), "fit-matrix").persist()
+        self.matrix = materialize(lying.mapInArrow(_packed, MATRIX), "fit-matrix").persist()
 
     def sums(self, shipped: Broadcast[np.ndarray]) -> DataFrame:
         """(block, v): the product without the diagonal, ``BLOCK`` numbers of 8 bytes a row."""
@@ -136,15 +156,35 @@ class Kernel:
             out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(v.as_buffer())
         return out + self.diagonal * vector
 
+    def weights(self, point: np.ndarray) -> DataFrame:
+        """term, df, idf, weight of the terms of several rows, from the rows' numbers."""
+        shipped = self.spark.sparkContext.broadcast(point)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for terms, idfs, lengths, rows, xs in zip(*batch.columns):
+                    length, at = (np.frombuffer(c.as_buffer(), np.int32) for c in (lengths, rows))
+                    weight = np.add.reduceat(np.frombuffer(xs.as_buffer()) * shipped.value[at], np.cumsum(length) - length)
+                    columns = [terms.values, pa.array(length.astype(np.int64)), pa.array(np.frombuffer(idfs.as_buffer())), pa.array(weight)]
+                    yield pa.RecordBatch.from_arrays(columns, ["term", "df", "idf", "weight"])
+
+        return self.matrix.mapInArrow(run, "term string, df long, idf double, weight double")
+
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of terms as bytes, those of one batch on a row: numbers of whole batches are read at once, not one by one."""
-    for batch in batches:
-        rows, xs = batch.column("rows"), batch.column("xs")
-        if batch.num_rows:
-            length = rows.value_lengths().to_numpy().astype(np.int32)
-            row = [length.tobytes(), rows.flatten().to_numpy().astype(np.int32).tobytes(), xs.flatten().to_numpy().tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], ["lengths", "rows", "xs"])
+    """A partition (term, idf, row, w), which holds terms whole, on one row, numbers as bytes."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    coded = table["term"].cast(pa.large_string()).combine_chunks().dictionary_encode()
+    code, row = coded.indices.to_numpy(zero_copy_only=False), table["row"].to_numpy()
+    order = np.lexsort((row, code))
+    length = np.bincount(code, minlength=len(coded.dictionary)).astype(np.int32)
+    idf = table["idf"].to_numpy()[order][np.cumsum(length) - length]
+    numbers = [idf, length, row[order], table["w"].to_numpy()[order]]
+    terms = pa.ListArray.from_arrays(pa.array([0, len(length)], pa.int32()), coded.dictionary.cast(pa.string()))
+    yield pa.RecordBatch.from_arrays([terms, *[pa.array([x.tobytes()], pa.binary()) for x in numbers]], [c.split()[0] for c in MATRIX.split(", ")])
 
 
 def _blocks(found: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -236,16 +276,24 @@ def fit_terms(rows: DataFrame, max_df: float = 0.95, c: float = 1.0, max_iter: i
     rows = numbered(rows.select("text", F.col("target").cast("double").alias("target"), F.col("weight").cast("double").alias("weight")), "id", "fit-input")
     known = rows.select("id", "target", "weight").toArrow()
     n = known.num_rows
-    vocab, weights = term_features(rows, n, max_df)
     order = np.argsort(known["id"].to_numpy())
     y, weight = (known[k].to_numpy()[order] for k in ("target", "weight"))
-    coefficients, intercept, norm = np.zeros(0), 0.0, 0.0
-    if n:
-        kernel = Kernel(weights, n)
-        coefficients, intercept, norm = minimise(kernel, y, weight, 1.0 / c, tol, max_iter)
-        kernel.matrix.unpersist()
-    table = pa.table({"id": np.arange(n), "a": coefficients})
-    shares = rows.sparkSession.createDataFrame(table) if n else rows.select("id", F.lit(0.0).alias("a"))
-    # One number for each row.
-    summed = weights.join(F.broadcast(shares), "id").groupBy("term").agg(F.sum(F.col("w") * F.col("a")).alias("weight"))
-    return TermModel(materialize(vocab.join(summed, "term"), "fit-weights"), intercept, norm)
+    vocab, weights = term_features(rows, n, max_df)
+    if not n:
+        return TermModel(materialize(vocab.withColumn("weight", F.lit(0.0)), "fit-weights"), 0.0, 0.0)
+    discard(vocab)
+    kernel = Kernel(weights, n)
+    point, intercept, norm = minimise(kernel, y, weight, 1.0 / c, tol, max_iter)
+    shipped = rows.sparkSession.sparkContext.broadcast(point)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = batch.column("w").to_numpy() * shipped.value[batch.column("id").to_numpy()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("term", "df", "idf")), pa.array(w)], ["term", "df", "idf", "weight"])
+
+    single = weights.where("df = 1").select("id", "term", "df", "idf", "w").mapInArrow(alone, "term string, df long, idf double, weight double")
+    terms = materialize(kernel.weights(point).unionByName(single), "fit-weights")
+    kernel.matrix.unpersist()
+    discard(kernel.matrix)
+    discard(weights)
+    return TermModel(terms, intercept, norm)

@@ -20,9 +20,9 @@ from copytrace.functions import text as T
 from copytrace.functions.numeric import rank_score, sigmoid
 from copytrace.functions.ranking import numbered
 from copytrace.operators.evaluate import binary_metrics, confusion_matrix, roc_auc
-from copytrace.operators.linear import TermModel, fit_terms, load_terms
+from copytrace.operators.linear import TermModel, fit_terms, known_postings, load_terms
 from copytrace.operators.split import stratified_split
-from copytrace.operators.vectorize import attach_vocabulary, postings
+from copytrace.operators.vectorize import part_of
 from copytrace.session import materialize
 from copytrace.sources.tables import spread
 
@@ -108,13 +108,14 @@ def largest_slope(model: TermModel, labelled: DataFrame, c: float = 1.0) -> floa
     """Largest derivative, by a weight or the intercept, of the loss that ``fit_classifier`` minimises: 0 at the optimum."""
     target = (F.col("label") == "ai").cast("double")
     rows = numbered(balanced_weights(labelled).select("text", "weight", target.alias("target")), "id", "slope-rows")
-    post = attach_vocabulary(postings(rows, ["id"], "text", 2), model.terms.withColumnRenamed("weight", "slope_weight"), ["id"], ["idf", "slope_weight"])
+    post, parts = known_postings(rows.select("id", "text"), model.terms.withColumnRenamed("weight", "slope_weight"), "id", ["idf", "slope_weight"])
     x = F.col("tf") * F.col("idf")
-    sums = post.groupBy("id").agg(F.sum(x * F.col("slope_weight")).alias("dot"), F.sqrt(F.sum(x * x)).alias("norm"))
+    sums = post.groupBy("part", "id").agg(F.sum(x * F.col("slope_weight")).alias("dot"), F.sqrt(F.sum(x * x)).alias("norm"))
     p = sigmoid(F.coalesce(F.col("dot") / F.col("norm"), F.lit(0.0)) + F.lit(model.intercept))
     residual = (F.col("weight") * (p - F.col("target"))).alias("residual")
-    rows = materialize(rows.join(sums, "id", "left").select("id", "norm", residual), "slope-residuals")
-    by_term = post.join(rows, "id").groupBy("term", "slope_weight").agg(F.sum(x / F.col("norm") * F.col("residual")).alias("sum"))
+    rows = materialize(rows.join(sums.drop("part"), "id", "left").select("id", "norm", residual), "slope-residuals")
+    dealt = rows.select(part_of(parts, "id").alias("part"), "*").repartitionById(parts, F.col("part"))
+    by_term = post.join(dealt.hint("shuffle_hash"), ["part", "id"]).groupBy("term", "slope_weight").agg(F.sum(x / F.col("norm") * F.col("residual")).alias("sum"))
     steepest = by_term.agg(F.max(F.abs(F.col("sum") + F.col("slope_weight") / c))).first()[0]
     return max(steepest or 0.0, abs(rows.agg(F.sum("residual")).first()[0] or 0.0))
 

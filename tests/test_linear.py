@@ -124,3 +124,17 @@ def test_a_fit_reads_all_rows(spark, monkeypatch):
     own = model.terms.filter(F.col("term").startswith("own") & (F.col("df") == 1)).count()
     assert own == 45 and "max_rows" not in train.fit_classifier.__code__.co_varnames
     train.train_classifier(given)
+
+
+def test_postings_of_a_fit_move_once(spark):
+    """Texts are dealt into parts; of their terms only the distinct ones of a part move, and a part is never cut."""
+    given = rows(spark, 45)
+    numbers = linear.numbered(given.select("text"), "id", "rows")
+    terms, weights = linear.term_features(numbers, 45, 1.0)
+    assert weights.columns == ["id", "term", "df", "idf", "w", "hot_norm"]
+    assert weights.groupBy("term").agg(F.count("*").alias("n"), F.first("df").alias("df")).filter("n != df").isEmpty()
+    assert terms.count() == weights.select("term").distinct().count()
+    model = spark.createDataFrame([("alpha", 2, 1.5, 0.25), ("beta", 1, 2.0, -1.0)], "term string, df long, idf double, weight double")
+    texts = spark.createDataFrame([(0, "alpha alpha beta"), (1, "unseen"), (2, None)], "id long, text string")
+    plan = linear.margins(texts, model, "id")
+    assert {r["id"]: r["margin"] for r in plan.collect()} == {0: pytest.approx((3 * 0.25 - 2.0) / np.sqrt(9 + 4))}
