@@ -263,3 +263,10 @@ def test_scratch_of_an_index_and_a_search_is_gone(spark):
     left = {name.rpartition("-")[0] for name in set(os.listdir(folder)) - before}
     assert "weights" in left and not left & {"partterms", "cold"}
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
+def test_texts_under_one_key_share_a_norm(spark):
+    """Rows that repeat an id are one vector of the index."""
+    corpus = spark.createDataFrame([(1, "alpha beta"), (1, "alpha beta"), (2, "alpha gamma")], "doc_id long, text string")
+    squares = I.build_index(corpus).document_weights.groupBy("bid.doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("s"))
+    assert {r["doc_id"]: r["s"] for r in squares.collect()} == {1: pytest.approx(1.0), 2: pytest.approx(1.0)}
